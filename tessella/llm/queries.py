@@ -9,11 +9,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect
+
+    return detect(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
