@@ -21,5 +21,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules)}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_column
+
+    path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_column(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op9_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
