@@ -21,6 +21,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import words_in
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs.select("doc_id", "source", words_in(docs.text).alias("size"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -30,5 +38,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return encode_column(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op8_source_mixing, op9_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
