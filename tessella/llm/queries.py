@@ -21,6 +21,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import words_in
     from .mixing import mix
@@ -38,5 +44,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return encode_column(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op8_source_mixing, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op4_hilbert_shards, op8_source_mixing, op9_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
