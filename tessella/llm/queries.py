@@ -27,6 +27,18 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .hosts import judge
+
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    # the last number of a page's path is the document that it shows
+    shown = pages.select("page_id", F.regexp_extract("url", r"/(\d{1,18})[^/0-9]*(?:[?#].*)?$", 1).try_cast("long").alias("doc_id"))
+    outcomes = shown.join(labels, "doc_id").select("page_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return judge(pages, outcomes, limit=0.3)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import words_in
     from .mixing import mix
@@ -44,5 +56,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return encode_column(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op4_hilbert_shards, op8_source_mixing, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op4_hilbert_shards, op6_host_reputation, op8_source_mixing, op9_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
