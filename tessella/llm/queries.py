@@ -27,6 +27,12 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -56,5 +62,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return encode_column(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op4_hilbert_shards, op6_host_reputation, op8_source_mixing, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op4_hilbert_shards, op5_warc_chunks, op6_host_reputation, op8_source_mixing, op9_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
