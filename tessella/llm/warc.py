@@ -1,12 +1,13 @@
 """WARC archives through Spark's own text files, and their chunked record table.
 
-Writing: each record becomes a few lines' worth of text, headers and payload cut
-at line ends; Spark's text writer joins them with line feeds, so the files are
-plain WARC/1.1, gzipped. Reading: Spark's text reader streams the lines of a
-file to a parser, which hands out rows (record, chunk number, bytes of the chunk,
-digest so far). Neither side builds a record in one piece: chunks hold at most
-about CHUNK bytes unless a single line is longer, and the digest is carried from
-chunk to chunk. Spark's readers and writers reach any file system.
+Writing: a payload of more than `chunk` bytes becomes a segmented record, as
+WARC/1.1 has it: a first segment and continuation records of at most `chunk`
+bytes each. Every segment is one row of Spark's text writer, which ends it with
+the last line feed of its trailer, so the files are plain gzipped WARC. Reading:
+Spark's text reader streams lines to a parser, which hands out rows (record,
+chunk number, bytes of the chunk, size and digest so far). The digest is carried
+from segment to segment; neither side of a file ever builds a record in one
+piece. Spark's readers and writers reach any file system.
 
 Of records with equal payloads of at least `least` bytes, the one with the
 smallest id is a response, the others are revisits that refer to it and carry no
@@ -34,6 +35,7 @@ from .common import materialise, shared_dir
 
 CHUNK = 1 << 20
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LINES = "value string"
 _CHUNKS = "id long, record_type string, refers_to long, chunk int, bytes long, size_so_far long, digest_so_far string, stated_digest string, stated_size long, last boolean, data binary"
 
@@ -47,28 +49,40 @@ def classified(pages: DataFrame, key: str, payload: str, least: int = 0) -> Data
     return rows.join(first, "digest", "left")
 
 
-def _lines(rows: dict, size: int) -> Iterator[str]:
+def _segments(data: bytes, size: int) -> Iterator[bytes]:
+    """Pieces of at most size bytes (4 at least) that end between characters; one empty piece of nothing."""
+    at = 0
+    while True:
+        end = min(len(data), at + max(size, 4))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        yield data[at:end]
+        at = end
+        if at == len(data):
+            return
+
+
+def _records(rows: dict, size: int) -> Iterator[str]:
+    """The text of each segment, without its last line feed."""
     for id_, payload, digest, first in zip(rows["id"], rows["payload"], rows["digest"], rows["first"]):
         data = payload.encode()
-        stamp = base64.b32encode(bytes.fromhex(digest)).decode()
-        revisit = first is not None and first != id_
-        http = b"" if revisit else (_HTTP % len(data)).encode()
-        head = f"WARC/1.1\r\nWARC-Type: {'revisit' if revisit else 'response'}\r\nWARC-Record-ID: <urn:page:{id_}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n"
-        if revisit:
-            head += f"WARC-Refers-To: <urn:page:{first}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
-        block = 0 if revisit else len(http) + len(data)
-        head += f"WARC-Payload-Digest: sha1:{stamp}\r\nWARC-Payload-Length: {len(data)}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {block}\r\n\r\n"
-        pending = head.encode() + http
-        at = 0
-        while not revisit and at < len(data):
-            end = data.rfind(b"\n", at, at + size) if len(data) - at > size else data.rfind(b"\n", at)
-            end = data.find(b"\n", at + size) if end < 0 and len(data) - at > size else end
-            if end < 0:  # the rest has no line end of its own
-                break
-            yield (pending + data[at:end]).decode()
-            pending, at = b"", end + 1
-        rest = data[at:] if not revisit else b""
-        yield (pending + rest + b"\r\n\r").decode()
+        name = f"<urn:page:{id_}>"
+        stated = f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}\r\nWARC-Payload-Length: {len(data)}\r\n"
+        if first is not None and first != id_:
+            yield _record("revisit", name, f"WARC-Refers-To: <urn:page:{first}>\r\nWARC-Profile: {_PROFILE}\r\n{stated}", b"")
+            continue
+        segmented = len(data) > size
+        for i, piece in enumerate(_segments(data, size)):
+            more = f"WARC-Segment-Number: {i + 1}\r\n" if segmented else ""
+            if i == 0:
+                yield _record("response", name, stated + more, (_HTTP % len(data)).encode() + piece)
+            else:
+                yield _record("continuation", f"<urn:page:{id_}:{i + 1}>", f"WARC-Segment-Origin-ID: {name}\r\n{more}", piece)
+
+
+def _record(kind: str, name: str, more: str, block: bytes) -> str:
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n{more}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+    return f"{head}{block.decode()}\r\n\r"
 
 
 def write(rows: DataFrame, path: str, chunk: int = CHUNK) -> None:
@@ -78,7 +92,7 @@ def write(rows: DataFrame, path: str, chunk: int = CHUNK) -> None:
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                lines = list(_lines(batch.slice(at, 64).to_pydict(), chunk))
+                lines = list(_records(batch.slice(at, 64).to_pydict(), chunk))
                 yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], schema=target)
 
     chosen = rows.select("id", "payload", "digest", "first")
@@ -86,65 +100,70 @@ def write(rows: DataFrame, path: str, chunk: int = CHUNK) -> None:
 
 
 class Parser:
-    """A WARC stream, fed by lines; gives the rows of the chunk table."""
+    """A WARC stream, fed by lines; gives a row of the chunk table for each segment."""
 
-    def __init__(self, with_data: bool, size: int):
-        self.with_data, self.most = with_data, size
+    def __init__(self, with_data: bool):
+        self.with_data = with_data
         self.head: dict[str, str] | None = None
+        self.origin: dict[str, str] = {}
         self.left = 0  # bytes of the block still to come
-        self.http = False
-        self.reading = False
+        self.reading = self.http = False
 
     def feed(self, line: bytes) -> Iterator[tuple]:
         """line ends with its line feed."""
-        if not self.reading:
+        if self.reading:
+            data = line[: self.left]
+            self.left -= len(data)
+            if self.http:
+                self.http = data.strip() != b""
+            else:
+                self.sha.update(data)
+                self.held += len(data)
+                if self.with_data:
+                    self.parts.append(data)
+        else:
             text = line.rstrip(b"\r\n").decode()
             if self.head is None:
                 if text.startswith("WARC/"):
                     self.head = {}
                 elif text:
                     raise ValueError(f"not a record: {text[:60]!r}")
-            elif text:
+                return
+            if text:
                 name, _, value = text.partition(":")
                 self.head[name.lower()] = value.strip()
-            else:
-                self.left = int(self.head["content-length"])
-                self.http = self.left > 0
-                self.sha, self.size, self.chunk, self.parts, self.held = hashlib.sha1(), 0, 0, [], 0
-                self.reading = self.left > 0
-                if not self.reading:
-                    yield self.row(True)
-                    self.head = None
-            return
-        data = line[: self.left]
-        self.left -= len(data)
-        if self.http:
-            self.http = data.strip() != b""
-        else:
-            self.sha.update(data)
-            self.size += len(data)
-            self.parts.append(data) if self.with_data else None
-            self.held += len(data)
+                return
+            self.begin()
         if self.left == 0:
-            yield self.row(True)
+            yield self.row()
             self.head, self.reading = None, False
-        elif self.held >= self.most:
-            yield self.row(False)
 
-    def row(self, last: bool) -> tuple:
-        h = self.head
-        revisit = h["warc-type"] == "revisit"
+    def begin(self) -> None:
+        self.left = int(self.head["content-length"])
+        self.reading, self.parts, self.held = True, [], 0
+        if self.head["warc-type"] == "continuation":
+            if self.head["warc-segment-origin-id"] != self.origin.get("warc-record-id"):
+                raise ValueError("a continuation without its origin")
+            self.chunk += 1
+        else:
+            self.origin, self.http = self.head, self.left > 0
+            self.sha, self.size, self.chunk = hashlib.sha1(), 0, 0
+
+    def row(self) -> tuple:
+        h = self.origin
+        self.size += self.held
         page = lambda name: int(h[name].rpartition(":")[2].rstrip(">")) if name in h else None
         so_far = base64.b32encode(self.sha.digest()).decode()
-        stated = h["warc-payload-digest"].removeprefix("sha1:")
+        stated, length = h["warc-payload-digest"].removeprefix("sha1:"), int(h["warc-payload-length"])
+        revisit = h["warc-type"] == "revisit"
+        last = revisit or self.size >= length
         if last and not revisit and so_far != stated:
             raise ValueError(f"record {h['warc-record-id']}: digest {so_far}, stated {stated}")
-        out = (page("warc-record-id"), h["warc-type"], page("warc-refers-to"), self.chunk, self.held, self.size, so_far, stated, int(h["warc-payload-length"]), last, b"".join(self.parts) if self.with_data else None)
-        self.chunk, self.parts, self.held = self.chunk + 1, [], 0
-        return out
+        data = b"".join(self.parts) if self.with_data else None
+        return (page("warc-record-id"), h["warc-type"], page("warc-refers-to"), self.chunk, self.held, self.size, so_far, stated, length, last, data)
 
 
-def read_chunks(spark: SparkSession, path: str, with_data: bool = True, chunk: int = CHUNK) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, with_data: bool = True) -> DataFrame:
     """The chunked record table of the WARC files in path.
 
     One row for each (id, chunk): type, referred record, bytes, and size and
@@ -153,13 +172,13 @@ def read_chunks(spark: SparkSession, path: str, with_data: bool = True, chunk: i
     target = to_arrow_schema(StructType.fromDDL(_CHUNKS))
 
     def run(batches):
-        parser, rows, held = Parser(with_data, chunk), [], 0
+        parser, rows, held = Parser(with_data), [], 0
         for batch in batches:
             for line in batch.column(0).to_pylist():
                 for row in parser.feed(line.encode() + b"\n"):
                     rows.append(row)
                     held += row[4] + 200
-                    if held > 4 * chunk:
+                    if held > 4 * CHUNK:
                         yield _batch(rows, target)
                         rows, held = [], 0
         if parser.head is not None:
@@ -179,7 +198,7 @@ def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", le
     spark = pages.sparkSession
     path = shared_dir(spark)
     write(classified(pages, key, payload, least), path, chunk)
-    last = read_chunks(spark, path, False, chunk).where("last")
+    last = read_chunks(spark, path, False).where("last")
     return last.select(
         F.col("id").alias(key), F.col("stated_size").alias("payload_bytes"), F.col("stated_digest").alias("payload_digest"), "record_type", "refers_to",
         (F.col("chunk") + 1).alias("n_chunks"),
