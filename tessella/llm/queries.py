@@ -45,6 +45,12 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, outcomes, limit=0.3)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import words_in
     from .mixing import mix
@@ -62,5 +68,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return encode_column(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op4_hilbert_shards, op5_warc_chunks, op6_host_reputation, op8_source_mixing, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op4_hilbert_shards, op5_warc_chunks, op6_host_reputation, op7_jaccard_join, op8_source_mixing, op9_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
