@@ -68,5 +68,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return encode_column(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op4_hilbert_shards, op5_warc_chunks, op6_host_reputation, op7_jaccard_join, op8_source_mixing, op9_byte_bpe)}
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nndescent import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op4_hilbert_shards, op5_warc_chunks, op6_host_reputation, op7_jaccard_join, op8_source_mixing, op9_byte_bpe, op10_nn_descent)}
 ORACLE_SQL: dict[str, str] = {}
