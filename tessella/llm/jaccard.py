@@ -2,8 +2,8 @@
 
 A document's shingles are hashed into groups; the group counts are a point, and
 the overlap of two documents is at most the sum of the coordinates' minima. The
-number of groups follows the size, about a quarter of it, since a fixed number
-bounds nothing for long texts; larger points fold onto smaller ones. R-trees over
+number of groups follows the size, once to twice it, since a fixed number bounds
+nothing for long texts; larger points fold onto smaller ones. R-trees over
 the points give the pairs whose bound reaches the overlap that the similarity
 asks for, and surviving pairs are verified on the sets themselves.
 
@@ -65,20 +65,26 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def count_vector(tokens: np.ndarray) -> bytes:
-    """Counts of the tokens' groups, a power of two of them, one byte each."""
+    """Counts of the tokens' groups, as many groups as tokens or up to twice that, a power of two, half a byte each."""
     groups = 16
-    while groups * 4 < len(tokens):
+    while groups < len(tokens):
         groups *= 2
     while True:
         counts = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
-        if counts.max(initial=0) < 256:
-            return counts.astype(np.uint8).tobytes()
+        if counts.max(initial=0) < 16:
+            return (counts[0::2] << 4 | counts[1::2]).astype(np.uint8).tobytes()
         groups *= 2
 
 
-def folded(vector: bytes | np.ndarray, groups: int) -> np.ndarray:
-    v = np.frombuffer(vector, np.uint8) if isinstance(vector, bytes) else vector
-    return v.reshape(-1, groups).sum(0, dtype=np.int32)
+def counts_of(vector: bytes) -> np.ndarray:
+    packed = np.frombuffer(vector, np.uint8)
+    out = np.empty(2 * len(packed), np.uint8)
+    out[0::2], out[1::2] = packed >> 4, packed & 15
+    return out
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(-1, groups).sum(0, dtype=np.int16) if len(counts) > groups else counts.astype(np.int16)
 
 
 def _stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
@@ -104,9 +110,9 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
         load = np.zeros(SKETCH, np.int64)
         for rows in _slices(batches):
             out = {"doc_id": rows["doc_id"], "node": [], "n": [], "vec": []}
-            for text in rows["text"]:
-                tokens = shingle_set(text, width)
-                np.add.at(load, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            sets = [shingle_set(text, width) for text in rows["text"]]
+            load += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            for tokens in sets:
                 out["node"].append(node_of(tokens))
                 out["n"].append(len(tokens))
                 out["vec"].append(count_vector(tokens))
@@ -309,6 +315,20 @@ class RTree:
         return self.order[found]
 
 
+def _close(points, n, comp, left, right, percent) -> Iterator[tuple[int, int]]:
+    """Pairs of left and right rows of different components whose bound reaches the overlap needed."""
+    if len(left) * len(right) <= LEAF * LEAF:  # a tree of one leaf
+        bound = np.minimum(points[left][:, None], points[right][None]).sum(2)
+        need = overlap_needed(n[left][:, None], n[right][None], percent)
+        x, y = np.nonzero((bound >= need) & (comp[left][:, None] != comp[right][None]))
+        yield from zip(left[x], right[y])
+        return
+    tree = RTree(points[right], n[right], comp[right])
+    for x in left:
+        for y in right[tree.search(points[x], n[x], comp[x], percent)]:
+            yield x, y
+
+
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     """rows (g, i, j, side, node, comp, n, vec, lists) to pairs (g, i, j, a, b) that the bound allows."""
     names = ["g", "i", "j", "side", "node", "comp", "n", "vec", "lists"]
@@ -320,7 +340,7 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             node, comp, n, side = (np.asarray(table.column(k)) for k in ("node", "comp", "n", "side"))
             if comp.min() == comp.max() or 100 * n.max() < percent * n.min():
                 continue
-            vectors = table.column("vec").to_pylist()
+            vectors = [counts_of(v) for v in table.column("vec").to_pylist()]
             groups = min(map(len, vectors))
             points = np.stack([folded(v, groups) for v in vectors])
             lists = table.column("lists").to_pylist()
@@ -329,12 +349,10 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             left = np.flatnonzero(side == 0) if i != j else right
             if not len(left) or not len(right):
                 continue
-            tree = RTree(points[right], n[right], comp[right])
-            for x in left:
-                for y in right[tree.search(points[x], n[x], comp[x], percent)]:
-                    if (i != j or node[x] < node[y]) and not (lower and lower[x] & lower[y]):
-                        for k, v in zip(out, (g, i, j, int(node[x]), int(node[y]))):
-                            out[k].append(v)
+            for x, y in _close(points, n, comp, left, right, percent):
+                if (i != j or node[x] < node[y]) and not (lower and lower[x] & lower[y]):
+                    for k, v in zip(out, (g, i, j, int(node[x]), int(node[y]))):
+                        out[k].append(v)
             if len(out["g"]) > 20_000:
                 yield out
                 out = {k: [] for k in out}
@@ -391,7 +409,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(rows: dict) -> dict:
         kept = []
-        for k, (va, vb) in enumerate(zip(rows["va"], rows["vb"])):
+        for k, (va, vb) in enumerate(zip(map(counts_of, rows["va"]), map(counts_of, rows["vb"]))):
             groups = min(len(va), len(vb))
             if np.minimum(folded(va, groups), folded(vb, groups)).sum() >= overlap_needed(rows["na"][k], rows["nb"][k], percent):
                 kept.append(k)
@@ -460,7 +478,9 @@ def _links(docs, reps, nodes, classes, buckets, percent, width) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     rows = rows.withColumn("side", (F.col("own") == F.col("j")).cast("int"))
-    pairs = materialise(_candidates(rows, percent))
+    # a pair that several trees give is verified once
+    pairs = _candidates(rows, percent).groupBy("a", "b").agg(F.min(F.struct("g", "i", "j")).alias("at")).select("at.*", "a", "b")
+    pairs = materialise(pairs)
     # 3. one more verification
     more = _verified(pairs, _sets(docs, reps, ends(pairs), width), percent)
     return links.unionByName(more)
