@@ -2,7 +2,7 @@
 
 Words are lower-cased, punctuation parts them, and runs of five are shingles (a
 template or text with fewer words is one shingle). Templates are put in classes
-by length; a class has one window length, a stride of a quarter of it, and as
+by length; a class has one window length, a stride of an eighth of it, and as
 many bands of one MinHash value each as make a window collide with a template
 that is contained to `least` with probability `sure` at the worst alignment. A
 window that shares a band with a template retrieves it; the share of the
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_columns
-from .shingles import mix, shingles
+from .shingles import shingles
 
 # Notices by which works state their licenses.
 TEMPLATES = (
@@ -61,65 +61,74 @@ class Scanner:
         self.least = least
         self.names = [n for n, _ in templates]
         self.sets = [np.unique(shingles(_normal(t), WIDTH)) for _, t in templates]
+        order = sorted(range(len(self.sets)), key=lambda i: -len(self.sets[i]))
+        groups: list[list[int]] = []
+        for i in order:  # lengths within a quarter share a window
+            if groups and 5 * len(self.sets[i]) >= 4 * len(self.sets[groups[-1][0]]):
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        #: (window, stride, for each band its sorted values and their templates)
         self.classes = []
-        by_length: dict[int, list[int]] = {}
-        for i, s in enumerate(self.sets):
-            by_length.setdefault(1 << max(0, math.ceil(math.log2(len(s)))), []).append(i)
-        for window, members in sorted(by_length.items()):
-            stride = max(1, window // 4)
-            bands = bands_for(window, stride, min(len(self.sets[i]) for i in members), max(len(self.sets[i]) for i in members), least, sure)
+        for members in groups:
+            window, shortest = len(self.sets[members[0]]), len(self.sets[members[-1]])
+            stride = max(1, window // 8)
             tables = []
-            for b in range(bands):
-                values = np.array([self._hash(self.sets[i], b).min() for i in members], np.uint64)
-                order = np.argsort(values, kind="stable")
-                tables.append((values[order], np.array(members)[order]))
+            for b in range(bands_for(window, stride, shortest, window, least, sure)):
+                values = np.array([_permuted(self.sets[i], b).min() for i in members], np.uint64)
+                by_value = np.argsort(values, kind="stable")
+                tables.append((values[by_value], np.array(members)[by_value]))
             self.classes.append((window, stride, tables))
 
-    @staticmethod
-    def _hash(s: np.ndarray, band: int) -> np.ndarray:
-        return (s ^ (s >> np.uint64(29)) ^ np.uint64(band)) * np.uint64(2 * (0x9E3779B97F4A7C15 * (band + 1) % (1 << 62)) + 1)
+    def scan(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
+        """For each text (license, containment, first word, last word + 1): the best place of each license, in text order.
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, containment, first word, last word + 1), the best place of each license, in text order."""
-        s = shingles(_normal(text), WIDTH) if text else np.zeros(0, np.uint64)
+        Windows run over the shingles of all texts in a row; one that reaches
+        into the next text can only retrieve more than it need.
+        """
+        each = [shingles(_normal(t), WIDTH) if t else np.zeros(0, np.uint64) for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(s) for s in each])]).astype(np.int64)
+        s = np.concatenate([*each, np.zeros(0, np.uint64)])
         if not len(s):
-            return []
+            return [[] for _ in texts]
         tries: set[tuple[int, int, int]] = set()
-        for window, stride, tables in self.classes:
-            w = min(window, len(s))
-            starts = np.arange(0, len(s) - w + 1, stride)
-            if starts[-1] != len(s) - w:
-                starts = np.append(starts, len(s) - w)
-            for b, (values, members) in enumerate(tables):
-                h = self._hash(s, b)
-                mins = h if w == 1 else _window_minima(h, starts, w)
-                at = np.searchsorted(values, mins)
-                at[at == len(values)] = 0
-                for k in np.flatnonzero(values[at] == mins):
+        for band in range(max(len(t) for _, _, t in self.classes)):
+            size, minima = 1, _permuted(s, band)
+            for window, stride, tables in sorted(self.classes, key=lambda c: c[0]):
+                if band >= len(tables):
+                    continue
+                w = min(window, len(s))
+                while 2 * size <= w:  # minima of runs of `size`, shared by all classes
+                    minima = np.minimum(minima[:-size], minima[size:])
+                    size *= 2
+                starts = np.append(np.arange(0, len(s) - w, stride), len(s) - w)
+                found = np.minimum(minima[starts], minima[starts + w - size])
+                values, members = tables[band]
+                at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+                for k in np.flatnonzero(values[at] == found):
                     first = at[k]
-                    while first < len(values) and values[first] == mins[k]:
+                    while first < len(values) and values[first] == found[k]:
                         tries.add((int(members[first]), max(0, int(starts[k]) - window), int(starts[k]) + 2 * window))
                         first += 1
-        best: dict[str, tuple[float, int, int]] = {}
+        best: list[dict[str, tuple[float, int, int]]] = [{} for _ in texts]
         for i, low, high in tries:
-            near = s[low:high]
-            hits = np.flatnonzero(np.isin(near, self.sets[i]))
-            if not len(hits):
-                continue
-            share = len(np.unique(near[hits])) / len(self.sets[i])
-            found = (round(share, 4), -(low + int(hits[0])), low + int(hits[-1]) + WIDTH)
-            if share >= self.least and found > best.get(self.names[i], (0.0, 0, 0)):
-                best[self.names[i]] = found
-        return sorted(((n, c, -a, e) for n, (c, a, e) in best.items()), key=lambda m: (m[2], m[0]))
-
-
-def _window_minima(h: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
-    """Minima of h[a : a + w] by doubling."""
-    size, out = 1, h
-    while 2 * size <= w:
-        out = np.minimum(out[:-size], out[size:])
-        size *= 2
-    return np.minimum(out[starts], out[starts + w - size])
+            first, last = np.searchsorted(offsets, [low, min(high, len(s)) - 1], "right") - 1
+            for d in range(first, last + 1):
+                a = max(low, offsets[d])
+                near = s[a : min(high, offsets[d + 1])]
+                hits = np.flatnonzero(np.isin(near, self.sets[i]))
+                if not len(hits):
+                    continue
+                share = len(np.unique(near[hits])) / len(self.sets[i])
+                place = int(a - offsets[d])
+                found = (round(share, 4), -(place + int(hits[0])), place + int(hits[-1]) + WIDTH)
+                if share >= self.least and found > best[d].get(self.names[i], (0.0, 0, 0)):
+                    best[d][self.names[i]] = found
+        return [sorted(((n, c, -a, e) for n, (c, a, e) in b.items()), key=lambda m: (m[2], m[0])) for b in best]
+
+
+def _permuted(s: np.ndarray, band: int) -> np.ndarray:
+    return (s ^ (s >> np.uint64(29)) ^ np.uint64(band)) * np.uint64(2 * (0x9E3779B97F4A7C15 * (band + 1) % (1 << 62)) + 1)
 
 
 @lru_cache(maxsize=4)
@@ -132,7 +141,7 @@ def scan_licenses(docs: DataFrame, least: float = 0.75, sure: float = 0.999) ->
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(rows: dict) -> dict:
-        found = [scanner(least, sure).scan(t) for t in rows["text"]]
+        found = scanner(least, sure).scan(rows["text"])
         return {
             "doc_id": rows["doc_id"], "n_licenses": [len(f) for f in found], "licenses": [",".join(sorted(m[0] for m in f)) for f in found],
             "places": [",".join(f"{n}:{c:.4f}:{a}:{b}" for n, c, a, b in f) for f in found],

@@ -86,19 +86,19 @@ def repeated_words(words: list, width: int = 5) -> int:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the group key, base counts and scaled statistics x0.. of every row."""
-    keyed = docs.select("doc_id", "text", group_key(F.col("lang"), F.col("source")).alias("g"))
+    """doc_id, a hash of the text, the group key, base counts and scaled statistics x0.. of every row."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), group_key(F.col("lang"), F.col("source")).alias("g"))
 
     def measure(rows: dict) -> dict:
         found = [text_statistics(t) for t in rows["text"]]
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-        out = {"doc_id": rows["doc_id"], "g": rows["g"]}
+        out = {"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "g": rows["g"]}
         out |= {k: [f[0][i] for f in found] for i, k in enumerate(names)}
         return out | {f"x{i}": [f[1][i] for f in found] for i in range(len(NAMES))}
 
     kind = dict(docs.dtypes)["doc_id"]
     xs = ", ".join(f"x{i} long" for i in range(len(NAMES)))
-    return map_columns(keyed, measure, f"doc_id {kind}, g string, {_INTS}, {xs}")
+    return map_columns(keyed, measure, f"doc_id {kind}, text_hash long, g string, {_INTS}, {xs}")
 
 
 def gamma_p(a: float, x: float) -> float:
@@ -208,4 +208,4 @@ def quality_rules(docs: DataFrame, rejected: float = 1e-6, min_words: int = 10,
     passed = robust_distances(stats.where(~F.col("base_failed")), len(NAMES), list(FLOORS.values()))
     out = passed.unionByName(stats.where("base_failed"), allowMissingColumns=True)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("d2", 3).alias("distance2"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("d2", 3).alias("distance2"), "text_hash")

@@ -21,6 +21,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hilbert import shard
 
@@ -74,5 +80,5 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op4_hilbert_shards, op5_warc_chunks, op6_host_reputation, op7_jaccard_join, op8_source_mixing, op9_byte_bpe, op10_nn_descent)}
+QUERIES = {f.__name__: f for f in (op1_pii_deobfuscation, op2_quality_rules, op3_license_scan, op4_hilbert_shards, op5_warc_chunks, op6_host_reputation, op7_jaccard_join, op8_source_mixing, op9_byte_bpe, op10_nn_descent)}
 ORACLE_SQL: dict[str, str] = {}
