@@ -317,15 +317,18 @@ class RTree:
 
 def _close(points, n, comp, left, right, percent) -> Iterator[tuple[int, int]]:
     """Pairs of left and right rows of different components whose bound reaches the overlap needed."""
+    if not len(left) or not len(right):
+        return
     if len(left) * len(right) <= LEAF * LEAF:  # a tree of one leaf
-        bound = np.minimum(points[left][:, None], points[right][None]).sum(2)
+        a, b = (np.stack([points[int(k)] for k in some]) for some in (left, right))
+        bound = np.minimum(a[:, None], b[None]).sum(2)
         need = overlap_needed(n[left][:, None], n[right][None], percent)
         x, y = np.nonzero((bound >= need) & (comp[left][:, None] != comp[right][None]))
         yield from zip(left[x], right[y])
         return
-    tree = RTree(points[right], n[right], comp[right])
+    tree = RTree(np.stack([points[int(k)] for k in right]), n[right], comp[right])
     for x in left:
-        for y in right[tree.search(points[x], n[x], comp[x], percent)]:
+        for y in right[tree.search(points[int(x)], n[x], comp[x], percent)]:
             yield x, y
 
 
@@ -341,18 +344,20 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             if comp.min() == comp.max() or 100 * n.max() < percent * n.min():
                 continue
             vectors = [counts_of(v) for v in table.column("vec").to_pylist()]
-            groups = min(map(len, vectors))
-            points = np.stack([folded(v, groups) for v in vectors])
+            lengths = np.array([len(v) for v in vectors])
             lists = table.column("lists").to_pylist()
             lower = [frozenset(t for t in x if t < g) for x in lists] if lists[0] is not None else None
-            right = np.flatnonzero(side == 1) if i != j else np.arange(len(node))
-            left = np.flatnonzero(side == 0) if i != j else right
-            if not len(left) or not len(right):
-                continue
-            for x, y in _close(points, n, comp, left, right, percent):
-                if (i != j or node[x] < node[y]) and not (lower and lower[x] & lower[y]):
-                    for k, v in zip(out, (g, i, j, int(node[x]), int(node[y]))):
-                        out[k].append(v)
+            for groups in np.unique(lengths):
+                # points of this many groups with each other and with larger ones, folded, whose sizes still allow a link
+                own = np.flatnonzero(lengths == groups)
+                more = np.flatnonzero((lengths > groups) & (percent * n <= 100 * n[own].max()))
+                points = {int(k): folded(vectors[k], int(groups)) for k in np.concatenate([own, more])}
+                on = lambda some, at: some[side[some] == at] if i != j else some
+                for left, right in ((on(own, 0), on(own, 1)), (on(own, 0), on(more, 1)), (on(more, 0), on(own, 1)))[: 3 if i != j else 2]:
+                    for x, y in _close(points, n, comp, left, right, percent):
+                        if (i != j or left is own and right is more or node[x] < node[y]) and not (lower and lower[x] & lower[y]):
+                            for k, v in zip(out, (g, i, j, int(node[x]), int(node[y]))):
+                                out[k].append(v)
             if len(out["g"]) > 20_000:
                 yield out
                 out = {k: [] for k in out}
