@@ -63,8 +63,8 @@ class Series:
         return self._full(F.when(sd <= TINY, F.lit(0.0)).otherwise((x - F.avg(x).over(self.last(w))) / sd), w)
 
     def rcorr(self, x: Column, y: Column, w: int) -> Column:
-        flat = (F.stddev_pop(x).over(self.last(w)) <= TINY) | (F.stddev_pop(y).over(self.last(w)) <= TINY)
-        return self._full(F.when(~flat, F.corr(x, y).over(self.last(w))), w)
+        sx, sy = F.stddev_pop(x).over(self.last(w)), F.stddev_pop(y).over(self.last(w))
+        return self._full(F.when((sx > TINY) & (sy > TINY), F.try_divide(F.covar_pop(x, y).over(self.last(w)), sx * sy)), w)
 
     def wsum(self, x: Column, y: Column, w: int) -> Column:
         return self._full(F.sum(x * y).over(self.last(w)), w)

@@ -65,7 +65,8 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) ->
     """(doc_id, score) of documents with a query term; lower-cased words, no stemming."""
     terms = sorted({t.lower() for t in query})
     words = tokens(F.col("text"))
-    counted = docs.select("doc_id", F.size(words).alias("len"), *[F.size(F.filter(words, lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    found = lambda t: F.size(F.filter(words, lambda w: w == F.lit(t)))
+    counted = docs.select("doc_id", F.size(words).alias("len"), *[found(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     score = F.lit(0.0)
@@ -101,7 +102,7 @@ def mmr(candidates: DataFrame, lam: float, k: int, pool: int = 1000) -> DataFram
             near = np.maximum(near, v @ v[picked[-1]]) if len(picked) > 1 else v @ v[picked[-1]]
         return pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[picked], "pick": np.arange(len(picked))})
 
-    return top.groupBy(F.lit(1)).applyInPandas(choose, "vec_id long, pick long")
+    return top.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(choose, "vec_id long, pick long")
 
 
 def retrieval_quality(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

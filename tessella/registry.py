@@ -16,3 +16,20 @@ ORACLE_SQL: dict[str, str] = {}
 for _name in sql_surface.STATEMENTS:
     QUERIES[_name] = partial(catalog.sql, text=sql_surface.spark_text(_name))
     ORACLE_SQL[_name] = sql_surface.duckdb_text(_name)
+
+from .plans import library  # noqa: E402
+
+QUERIES |= library.QUERIES
+ORACLE_SQL |= library.ORACLE_SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of the highest orders: scan, filter, traverse, rank by total value, limit."""
+    from pyspark.sql import functions as F
+
+    from .operators.graph import traverse
+
+    big = catalog.nodes(spark, sf_dir).where("label = 'order' AND value > 200000").select("id")
+    reached = traverse(catalog.edges(spark, sf_dir, "PLACED_BY").select("src", "dst"), big, 1, 1)
+    spent = catalog.table(spark, sf_dir, "orders").groupBy(catalog.node_id("customer", "o_custkey").alias("id")).agg(F.sum("o_totalprice").alias("score"))
+    return reached.join(spent, "id").select("id", F.round("score", 2).alias("score")).orderBy(F.desc("score"), "id").limit(10)
