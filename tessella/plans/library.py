@@ -756,3 +756,97 @@ def mixture_moments(spark, sf_dir):
     c = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     m = uncertainty.mixture_moments(c, "event_type", "n", "m", "v")
     return m.select("event_type", (F.col("var") > 0).alias("positive"), F.round("mean", 5).alias("mean"))
+
+
+# --- sequential kernels, metric queries, models
+from ..operators import metrics, models, sequential  # noqa: E402
+
+
+def _daily(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type", timeseries.bucket_start(F.col("ts"), 86400).alias("t")).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def kalman_level(spark, sf_dir):
+    return _rounded(sequential.kalman_level(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "event_id", "value", 0.1, 1.0))
+
+
+@query()
+def kalman_beta(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return _rounded(sequential.kalman_beta(l, "l_suppkey", ["l_shipdate", "id"], "id", "l_quantity", "l_extendedprice", 1.0, 100.0), 4)
+
+
+@query()
+def matrix_profile(spark, sf_dir):
+    return _rounded(sequential.matrix_profile(_daily(spark, sf_dir), "event_type", ["t"], "value", 5))
+
+
+@query()
+def motif_like(spark, sf_dir):
+    return _rounded(sequential.motif_like(_daily(spark, sf_dir), "event_type", ["t"], "value", [1.0, 2.0, 3.0, 2.0, 1.0], 3))
+
+
+@query()
+def holt_winters(spark, sf_dir):
+    return _rounded(sequential.holt_winters(_daily(spark, sf_dir), "event_type", ["t"], "value", 7, 0.3, 0.1, 0.2, 7))
+
+
+@query()
+def pelt_change_points(spark, sf_dir):
+    return sequential.pelt(_daily(spark, sf_dir), "event_type", ["t"], "value", 50.0)
+
+
+_SAMPLE = "SELECT event_type AS series, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t, max(value) AS value FROM events GROUP BY 1, 2"
+
+
+def _samples(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("event_type").alias("series"), F.floor(timeseries.micros(F.col("ts")) / 1_000_000).cast("long").alias("t")).agg(F.max("value").alias("value"))
+
+
+@query(
+    f"""SELECT series, t, round(sum(value) OVER w, 4) AS sum, round(avg(value) OVER w, 5) AS avg, min(value) OVER w AS min, max(value) OVER w AS max, count(value) OVER w AS count, round(value - first_value(value) OVER w, 6) AS delta
+    FROM ({_SAMPLE}) WINDOW w AS (PARTITION BY series ORDER BY t RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)"""
+)
+def promql_over_time(spark, sf_dir):
+    o = metrics.over_time(_samples(spark, sf_dir), 7200)
+    return o.select("series", "t", F.round("sum", 4).alias("sum"), F.round("avg", 5).alias("avg"), "min", "max", "count", F.round("delta", 6).alias("delta"))
+
+
+@query(
+    f"""WITH s AS ({_SAMPLE}), i AS (SELECT *, coalesce(CASE WHEN value < lag(value) OVER (PARTITION BY series ORDER BY t) THEN value ELSE value - lag(value) OVER (PARTITION BY series ORDER BY t) END, 0) AS i FROM s)
+    SELECT series, t, round((sum(i) OVER w - first_value(i) OVER w) / nullif(t - min(t) OVER w, 0), 8) AS rate FROM i WINDOW w AS (PARTITION BY series ORDER BY t RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)"""
+)
+def promql_rate(spark, sf_dir):
+    return _rounded(metrics.rate(_samples(spark, sf_dir), 7200).select("series", "t", "rate"), 8)
+
+
+@query(f"SELECT series, t, value FROM ({_SAMPLE}) QUALIFY row_number() OVER (PARTITION BY t // 86400 ORDER BY value DESC, series) <= 2")
+def promql_topk(spark, sf_dir):
+    s = _samples(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86400))
+    return metrics.top_k(s, ["day"], 2).drop("day")
+
+
+@query("WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem) SELECT l_orderkey * 10 + l_linenumber AS id, round(a + b * l_quantity, 2) AS prediction FROM lineitem, f")
+def linear_regression(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return _rounded(models.linear_regression(l, "id", "x", "y"), 2)
+
+
+@query()
+def logistic_classifier(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 5).cast("double"))
+    return models.classify(v, "vec_id", "embedding", "y").select("vec_id", "prediction")
+
+
+@query()
+def topic_model(spark, sf_dir):
+    return models.topics(table(spark, sf_dir, "documents"), 4)
+
+
+@query()
+def gaussian_mixture(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").withColumn("x", F.slice("embedding", 1, 4))
+    return models.mixture(v, "vec_id", "x", 4)
