@@ -850,3 +850,30 @@ def topic_model(spark, sf_dir):
 def gaussian_mixture(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").withColumn("x", F.slice("embedding", 1, 4))
     return models.mixture(v, "vec_id", "x", 4)
+
+
+@query(
+    "SELECT 'nation:' || n_nationkey AS nation, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 300000 AND 'customer:' || c_custkey LIKE 'customer:1%' GROUP BY 1"
+)
+def cypher_match(spark, sf_dir):
+    from . import cypher
+
+    text = "MATCH (o:order)-[:PLACED_BY]->(c:customer)-[:LOCATED_IN]->(n) WHERE o.value > 300000 AND c.id STARTS WITH 'customer:1' RETURN n.id AS nation, count(*) AS orders, sum(o.value) AS total"
+    return cypher.run(text, *_graph(spark, sf_dir)).withColumn("total", F.round("total", 2))
+
+
+@query(
+    "SELECT 'customer:' || c_custkey AS c, o_orderkey IS NOT NULL AS ordered FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE TRUE GROUP BY 1) ON o_custkey = c_custkey WHERE c_acctbal > 9000"
+)
+def cypher_optional(spark, sf_dir):
+    from . import cypher
+
+    text = "MATCH (c:customer) WHERE c.value > 9000 OPTIONAL MATCH (o:order)-[:PLACED_BY]->(c) RETURN c.id AS c, count(o.id) AS n"
+    return cypher.run(text, *_graph(spark, sf_dir)).select("c", (F.col("n") > 0).alias("ordered"))
+
+
+@query("SELECT 'region:' || n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1 ORDER BY n DESC, r LIMIT 3")
+def cypher_reverse(spark, sf_dir):
+    from . import cypher
+
+    return cypher.run("MATCH (r:region)<-[:PART_OF]-(n:nation) RETURN r.id AS r, count(*) AS n ORDER BY n DESC, r LIMIT 3", *_graph(spark, sf_dir))

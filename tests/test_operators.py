@@ -122,3 +122,17 @@ def test_line_formats(spark):
     assert got[0] == (4, 2, "host", "su", "failed") and got[1][0] is None
     nt = spark.createDataFrame([('<a> <b> "c\\"d"@en .',), ("# no",), ("<a> <b> _:x .",)], "value string")
     assert [r["o"] for r in lake.n_triples(nt).collect()] == ['"c\\"d"@en', "_:x"]
+
+
+def test_cypher_faults_and_optional(spark):
+    from tessella.plans import cypher
+
+    nodes = spark.createDataFrame([("a", "p", 1.0), ("b", "p", 2.0), ("c", "q", 3.0)], "id string, label string, v double")
+    edges = spark.createDataFrame([("a", "c", "E"), ("b", "c", "F")], "src string, dst string, rel string")
+    got = cypher.run("MATCH (x:p) OPTIONAL MATCH (x)-[:E]->(y) RETURN x.id AS x, y.id AS y ORDER BY x", nodes, edges).collect()
+    assert [tuple(r) for r in got] == [("a", "c"), ("b", None)]
+    one = cypher.run("MATCH (x)-[:E|F]->(y:q) WHERE x.v IN [2, 9] OR y.id CONTAINS 'zz' RETURN DISTINCT x.id AS x SKIP 0 LIMIT 5", nodes, edges).collect()
+    assert [r["x"] for r in one] == ["b"]
+    for bad in ("RETURN 1", "MATCH (a)", "MATCH (a)-(b) RETURN a.id", "MATCH (a) WHERE sleep(1) RETURN a.id", "MATCH (a) RETURN a.id AS a LIMIT x"):
+        with pytest.raises(cypher.CypherFault):
+            cypher.run(bad, nodes, edges)
