@@ -431,7 +431,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFram
     rows = summary.where("part IS NULL").select("doc_id", "node", "n")
     full = rows.where("n > 0")
     reps = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
-    nodes = summary.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
+    nodes = materialise(summary.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")))
     total = reps.agg(F.sum("n")).first()[0] or 0
     links = None
     if total:
@@ -473,7 +473,10 @@ def _links(docs, reps, nodes, classes, buckets, percent, width) -> DataFrame:
     post = post.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     post = materialise(post.join(nodes.select("node", "n"), "node"))
     mixed = post.groupBy("g").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("n").alias("least"), F.max("n").alias("most")).where("c <> d").select("g")
-    rows = post.join(mixed, "g")
+    # of rows of a tree in the order of size, one without a near neighbour has no partner at all
+    in_order = Window.partitionBy("g").orderBy("n", "node")
+    near = (100 * F.lag("n").over(in_order) >= percent * F.col("n")) | (percent * F.lead("n").over(in_order) <= 100 * F.col("n"))
+    rows = materialise(post.join(mixed, "g").withColumn("near", near).where("near").drop("near"))
     # a large group's members know their other large trees, so that a pair is found in one of them only
     lists = post.where(F.col("m") > 64).groupBy("node").agg(F.collect_list("g").alias("lists"))
     rows = rows.join(lists, "node", "left").join(nodes.select("node", "vec"), "node")
