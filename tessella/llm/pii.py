@@ -104,6 +104,8 @@ HOMOGLYPHS = dict(zip("аАвВсСеЕНіІјЈкКмМоОрРѕЅтТуУх
 )
 # Characters that show nothing.
 INVISIBLE = "­​‌‍⁠﻿"
+# Dashes of other widths.
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
 # Names of the digits 0 to 9 in the languages of the corpus.
 DIGIT_NAMES = {
     "en": "zero one two three four five six seven eight nine",
@@ -118,7 +120,7 @@ AT_NAMES = "at arobase arroba"
 _DIGIT = {w: str(i) for names in DIGIT_NAMES.values() for i, w in enumerate(names.split())} | {"oh": "0"}
 _names = "|".join(sorted(map(re.escape, _DIGIT), key=len, reverse=True))
 _dots, _ats = DOT_NAMES.replace(" ", "|"), AT_NAMES.replace(" ", "|")
-_ODD = re.compile(r"[^\x00-\xac\xae-ɏ‐-‧‰-⁞₠-₿]")
+_ODD = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\u024f\u2016-\u2027\u2030-\u205e\u20a0-\u20bf]")
 _BRACKETED = re.compile(rf"\x20*[\[({{<]\x20*(?:(@|(?:{_ats}))|(\.|(?:{_dots})))\x20*[\])}}>]\x20*", re.I)
 #: local AT label (DOT label)+ with plain words; at least the at or one dot is spelled.
 _SPOKEN = re.compile(
@@ -126,6 +128,7 @@ _SPOKEN = re.compile(
     rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20(?:{_dots})\x20)[A-Za-z0-9-]{{2,63}})+",
     re.I,
 )
+_AT_HOST = re.compile(r" at [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2}")
 _SPOKEN_PART = re.compile(rf"\x20(?:(@|{_ats})|({_dots}))\x20", re.I)
 _DIGIT_RUN = re.compile(rf"\b(?:{_names})(?:[\x20.,-]{{1,2}}(?:{_names}|{_dots}|[0-9]+))*[\x20.,-]{{1,2}}(?:{_names})\b", re.I)
 _DIGIT_HINT = re.compile(rf"\b(?:{_names})[\x20.,-]{{1,2}}(?:{_names}|{_dots}|[0-9]+)\b", re.I)
@@ -174,6 +177,8 @@ def _plain(c: str) -> str:
         return ""
     if c in HOMOGLYPHS:
         return HOMOGLYPHS[c]
+    if c in DASHES:
+        return "-"
     digit = unicodedata.decimal(c, None)
     if digit is not None:
         return str(digit)
@@ -196,7 +201,10 @@ def _spoken_edits(text: str) -> list[tuple[int, int, str]]:
         parts = [(*p.span(), "@" if p[1] else ".") for p in _SPOKEN_PART.finditer(text, *m.span())]
         said = [p for p in parts if p[2] == "."]
         at_spelled = any(p[2] == "@" for p in parts)
-        if said or (at_spelled and re.search(r" @ ", m[0])):  # "at" beside plain dots is common prose
+        local = text[m.start() : parts[0][0]] if parts else ""
+        # "at" beside plain dots is common prose, unless the word before it looks like an address's
+        odd = at_spelled and re.search(r"[0-9._+]", local) and re.search(r"\.[A-Za-z]{2,}\Z", m[0]) and text[m.end() : m.end() + 1] != "@"
+        if said or odd or (at_spelled and " @ " in m[0]):
             out += parts
     return out
 
@@ -217,7 +225,7 @@ def _may_hide(text: str) -> bool:
     if ("[" in text or "(" in text or "{" in text or "<" in text) and _BRACKETED.search(text):
         return True
     low = text.lower()
-    if any(f" {d} " in low for d in DOT_NAMES.split()) or " @ " in text:
+    if any(f" {d} " in low for d in DOT_NAMES.split()) or " @ " in text or _AT_HOST.search(text):
         return True
     words = low.translate(_BREAKS).split() if not low.isascii() else low.replace(".", " ").replace(",", " ").replace("-", " ").split()
     return sum(map(_DIGIT.__contains__, words)) >= 3 and bool(_DIGIT_HINT.search(text))

@@ -54,6 +54,8 @@ def test_base_spans_are_the_patterns():
         ("plus four four two zero seven one eight three eight seven five zero", "phone", "plus four four two zero seven one eight three eight seven five zero"),
         ("four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
         ("john@example(dot)com", "email", "john@example(dot)com"),
+        ("mail john.doe at mail8.example.com now", "email", "john.doe at mail8.example.com"),
+        ("4111–1111–1111–1111", "card", "4111–1111–1111–1111"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, hidden):
