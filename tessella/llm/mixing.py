@@ -139,10 +139,11 @@ def select(rows: DataFrame, plan: DataFrame, key: Column) -> DataFrame:
     return out.drop("_spot", "_key", "_before", "passes", "part", "_whole", "_reached", "_once", "_best")
 
 
-def mix(docs: DataFrame, sources: Column | None = None, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
-    """docs with size, source_size, target, times and taken.
+def mix(docs: DataFrame, sources: Column | None = None, size: Column | None = None, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17) -> DataFrame:
+    """Per row of docs: row (the whole row), doc_id, source, size, source_size, target, times and taken.
 
-    docs holds doc_id, source and text, or size instead of text.
+    size: words of a document, by default those of its text. Columns of any
+    name pass inside row.
     sources: the array of sources that a document belongs to; by default its own
     source alone. source_size and target are those of the column source.
     cycle: weights dealt to the sources in code-point order, null last.
@@ -151,9 +152,9 @@ def mix(docs: DataFrame, sources: Column | None = None, cycle: tuple[float, ...]
     member = sources if sources is not None else F.array("source")
     # null sorts last and differs from every text
     named = F.array_sort(F.array_distinct(F.transform(member, lambda s: F.coalesce(F.concat(F.lit("v"), s.cast("string")), F.lit("~")))))
-    rows = docs if "size" in docs.columns else docs.withColumn("size", words_in(F.col("text")))
-    rows = rows.withColumn("_own", F.coalesce(F.concat(F.lit("v"), F.col("source").cast("string")), F.lit("~")))
-    rows = materialise(rows.withColumn("g", F.to_json(named)).withColumn("_members", named))
+    own = F.coalesce(F.concat(F.lit("v"), F.col("source").cast("string")), F.lit("~"))
+    words = words_in(F.col("text")) if size is None else size
+    rows = materialise(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", words.alias("size"), own.alias("_own"), F.to_json(named).alias("g"), named.alias("_members")))
     patterns = rows.groupBy("g", "_own").agg(F.sum("size").alias("size"), F.first("_members").alias("members"))
     found = patterns.take(MAX_PATTERNS + 1)
     if len(found) > MAX_PATTERNS:

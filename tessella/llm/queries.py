@@ -58,11 +58,13 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from .common import words_in
     from .mixing import mix
 
     docs = table(spark, sf_dir, "documents")
-    return mix(docs.select("doc_id", "source", words_in(docs.text).alias("size"))).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs.select("doc_id", "source", words_in(docs.text).alias("words")), size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

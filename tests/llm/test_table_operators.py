@@ -178,7 +178,7 @@ def test_targets_and_flow():
 def test_mix_meets_targets_and_repeats_itself(spark):
     rng = random.Random(8)
     rows = [(i, None if i == 5 else "w " * rng.randrange(0, 60), None if i % 7 == 0 else f"s{i % 4}") for i in range(800)] + [(3, "w w w", "s3")] * 3
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("g", F.lit(1))
     got = [tuple(r) for r in mixing.mix(docs).select("doc_id", "size", "source", "source_size", "target", "taken").collect()]
     assert Counter(got) == Counter(tuple(r) for r in mixing.mix(docs.repartition(5)).select("doc_id", "size", "source", "source_size", "target", "taken").collect())
     assert len(got) == len(rows)
