@@ -23,8 +23,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the outlier test keep."""
     kept = quality_rules(docs).where("kept").select("doc_id", "text_hash")
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return hashed.join(kept, ["doc_id", "text_hash"], "left_semi").select(*docs.columns)
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    return hashed.join(kept, ["doc_id", "text_hash"], "left_semi").select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: never, once or twice."""
     taken = mix(docs).where("times > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
