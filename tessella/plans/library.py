@@ -622,19 +622,19 @@ def _graph(spark, sf_dir):
 @query(
     "SELECT 'customer:' || c_custkey AS id, c_acctbal AS score FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000 AND NOT ('order:' || o_orderkey) LIKE '%7') ORDER BY c_acctbal DESC, 'customer:' || c_custkey LIMIT 25"
 )
-def uql_pipeline(spark, sf_dir):
-    from . import uql
+def pipe_query(spark, sf_dir):
+    from . import pipes
 
     text = "MATCH (:order) WHERE value > $least AND NOT id LIKE '%7' |> TRAVERSE -[:PLACED_BY]->{1,1} |> RANK BY value DESC |> LIMIT 25"
-    return uql.run(text, *_graph(spark, sf_dir), {"least": 300000}).select("id", "score")
+    return pipes.run(text, *_graph(spark, sf_dir), {"least": 300000}).select("id", "score")
 
 
 @query("SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_acctbal > 5000 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
-def uql_let_join(spark, sf_dir):
-    from . import uql
+def pipe_let_join(spark, sf_dir):
+    from . import pipes
 
     text = "LET rich = MATCH (:customer) WHERE value > 5000; LET big = MATCH (:order) WHERE value > 350000 |> TRAVERSE -[:PLACED_BY]->{1,1}; FROM rich JOIN big"
-    return uql.run(text, *_graph(spark, sf_dir)).select("id")
+    return pipes.run(text, *_graph(spark, sf_dir)).select("id")
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

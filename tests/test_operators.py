@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import graph, retrieval, rules, timeseries
-from tessella.plans import uql
+from tessella.plans import pipes
 from tessella.sources import lake
 from tessella.streaming import changes, windows
 
@@ -70,23 +70,23 @@ def test_chain_keeps_the_best_confidence(spark):
     assert math.isclose(got["a", "c"], 0.4)
 
 
-def test_uql_round_trip_and_faults(spark):
+def test_pipes_round_trip_and_faults(spark):
     text = "LET a = MATCH (:n) WHERE v > 1 ; FROM a |> LIMIT 2"
-    once = uql.show(text)
-    assert uql.show(once) == once
+    once = pipes.show(text)
+    assert pipes.show(once) == once
     for bad in ("WHERE x = 1 |>", "MATCH (", "MATCH () |> LIMIT", "MATCH () |> NOPE", "MATCH () WHERE v = $p"):
-        with pytest.raises(uql.SyntaxFault):
-            uql.show(bad)
+        with pytest.raises(pipes.SyntaxFault):
+            pipes.show(bad)
 
 
-def test_uql_traverse_skips_seeds_and_limit_is_a_prefix(spark):
+def test_pipes_traverse_skips_seeds_and_limit_is_a_prefix(spark):
     nodes = spark.createDataFrame([(c, "n", float(i)) for i, c in enumerate("abcde")], "id string, label string, v double")
     edges = spark.createDataFrame([("a", "b", "E"), ("b", "c", "E"), ("c", "a", "E"), ("c", "d", "F")], "src string, dst string, rel string")
-    hop = uql.run("MATCH (:n) WHERE id = 'a' |> TRAVERSE -[:E]->{1,5}", nodes, edges)
+    hop = pipes.run("MATCH (:n) WHERE id = 'a' |> TRAVERSE -[:E]->{1,5}", nodes, edges)
     assert {r["id"] for r in hop.collect()} == {"b", "c"}
-    every = [r["id"] for r in uql.run("MATCH () |> RANK BY v DESC |> LIMIT 5", nodes, edges).orderBy("ord").collect()]
+    every = [r["id"] for r in pipes.run("MATCH () |> RANK BY v DESC |> LIMIT 5", nodes, edges).orderBy("ord").collect()]
     assert every == list("edcba")
-    assert [r["id"] for r in uql.run("MATCH () |> RANK BY v DESC |> LIMIT 2", nodes, edges).orderBy("ord").collect()] == every[:2]
+    assert [r["id"] for r in pipes.run("MATCH () |> RANK BY v DESC |> LIMIT 2", nodes, edges).orderBy("ord").collect()] == every[:2]
 
 
 def test_zset_view_equals_recompute(spark):
