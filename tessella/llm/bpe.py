@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import map_columns
 
 #: Remembered encodings a Python worker keeps of each kind; past it, new ones are computed each time.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Byte strings up to this length are merged directly.
 LEAF = 6
 
