@@ -157,6 +157,21 @@ def test_hosts_and_rules(spark):
     assert {r["verdict"] for r in hosts.judge(pages, outcomes.limit(0)).where("rule IS NULL").collect()} == {"allow"}
 
 
+def test_host_query_joins_every_labelled_page(spark, tmp_path):
+    from tessella.llm.queries import op6_host_reputation
+
+    ends = ["", "/", "//", ".html", "?page=2", "/?page=7/8", "#top", "/#a/9", ".html?x=http://y/3/"]
+    rows = [(i, f"http://h{i % 4}.example.com/en/{i % 90}{ends[i % len(ends)]}") for i in range(180)] + [(500, None), (501, "no url"), (502, "http://h1.example.com/en/"), (503, "http://h1.example.com?x=/7/")]
+    labels = [(d, int(d % 3 > 0), int(d % 5 == 0)) for d in range(0, 90, 2)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bad = {d: q == 0 or t == 1 for d, q, t in labels}
+    outcomes = [(i, bad[i % 90]) for i, _ in rows if i < 180 and i % 90 in bad]
+    want = hosts.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad boolean"), limit=0.3)
+    plain = lambda df: sorted((r["page_id"], r["verdict"], None if r["bound"] is None else round(r["bound"], 9)) for r in df.collect())
+    assert plain(op6_host_reputation(spark, str(tmp_path))) == plain(want)
+
+
 def test_reputation_shrinks_towards_the_domain(spark):
     rows = [("a.bad.com", True)] * 40 + [("b.bad.com", True)] * 40 + [("c.good.com", False)] * 80 + [("d.bad.com", False)]
     got = {r["name"]: r["bound"] for r in hosts.reputation(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
