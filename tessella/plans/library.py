@@ -428,7 +428,7 @@ def frequent_item_sets(spark, sf_dir):
 @query()
 def frequent_sequences(spark, sf_dir):
     w = _events(spark, sf_dir).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "id", "type"))).alias("l"))
-    return statistics.frequent_sequences(w.select(F.transform(F.slice("l", 1, 6), lambda e: F.array(e["type"])).alias("s")), "s", 0.1, 3)
+    return statistics.frequent_sequences(w.select(F.transform("l", lambda e: F.array(e["type"])).alias("s")), "s", 0.1)
 
 
 @query()

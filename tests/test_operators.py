@@ -1,5 +1,7 @@
 """Operators that SQL doesn't check: against plain Python on small inputs."""
 
+import collections
+import itertools
 import math
 import random
 
@@ -136,3 +138,17 @@ def test_cypher_faults_and_optional(spark):
     for bad in ("RETURN 1", "MATCH (a)", "MATCH (a)-(b) RETURN a.id", "MATCH (a) WHERE sleep(1) RETURN a.id", "MATCH (a) RETURN a.id AS a LIMIT x"):
         with pytest.raises(cypher.CypherFault):
             cypher.run(bad, nodes, edges)
+
+
+def test_frequent_sequences_of_whole_histories(spark, tmp_path):
+    from tessella.plans.library import QUERIES
+
+    rng = random.Random(11)
+    users = {u: [rng.choice("aaabbc" if u % 3 else "cdde") for _ in range(rng.randrange(1, 12))] for u in range(25)}
+    rows = [(100 * u + i, u, i // 2, kind) for u, kinds in users.items() for i, kind in enumerate(kinds)]
+    rng.shuffle(rows)
+    made = spark.createDataFrame(rows, "event_id long, user_id long, s long, event_type string")
+    made.select("event_id", "user_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_type", F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    want = collections.Counter(p for kinds in users.values() for p in {">".join(c) for k in range(1, 5) for c in itertools.combinations(kinds, k)})
+    got = {r["sequence"]: r["n"] for r in QUERIES["frequent_sequences"](spark, str(tmp_path)).collect()}
+    assert got == {p: n for p, n in want.items() if n >= 0.1 * len(users)}
