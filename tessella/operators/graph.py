@@ -110,26 +110,19 @@ def label_propagation(edges: DataFrame, sweeps: int = 10) -> DataFrame:
     return labels
 
 
-def k_core(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(id, coreness) by peeling, undirected."""
-    left = held(undirected(edges))
-    out = None
-    for k in range(most):
-        while True:
-            degree = left.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-            low = held(degree.where(F.col("d") <= k).select("id", F.lit(k).alias("coreness")))
-            if not low.take(1):
-                break
-            keep = left.join(low.select(F.col("id").alias("a")), "a", "left_anti").join(low.select(F.col("id").alias("b")), "b", "left_anti")
-            # nodes whose last edges go with their neighbours get the same k
-            before = degree.select("id")
-            left = held(keep)
-            after = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            gone = held(before.join(after, "id", "left_anti").withColumn("coreness", F.lit(k)))
-            out = gone if out is None else out.unionByName(gone)
-        if not left.take(1):
-            break
-    return out
+def k_core(edges: DataFrame) -> DataFrame:
+    """(id, coreness), undirected: from the degrees down, each node takes the largest h that h neighbours reach, until nothing changes."""
+    pairs = undirected(edges)
+    both = held(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))))
+    cores = held(both.groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("coreness")))
+    while True:
+        mine, near = cores.select(F.col("id").alias("x"), F.col("coreness").alias("cx")), cores.select(F.col("id").alias("y"), F.col("coreness").alias("cy"))
+        counts = both.join(near, "y").join(mine, "x").groupBy("x", "cx", F.least("cx", "cy").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        reach = F.sum("n").over(Window.partitionBy("x").orderBy(F.desc("c")))
+        now = held(counts.withColumn("h", F.least("c", reach)).groupBy("x", "cx").agg(F.max("h").alias("h")))
+        cores = now.select(F.col("x").alias("id"), F.col("h").alias("coreness"))
+        if not now.where("h < cx").take(1):
+            return cores
 
 
 def similarity(edges: DataFrame, metric: str = "jaccard", cutoff: float = 0.0) -> DataFrame:

@@ -200,9 +200,10 @@ def degree_centrality(spark, sf_dir):
 _SUP = "SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey WHERE a.l_quantity > {q} AND b.l_quantity > {q}"
 
 
-def _suppliers(spark, sf_dir, q):
-    """Suppliers that fill the same order with large items."""
-    big = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > q).select("l_orderkey", "l_suppkey")
+def _suppliers(spark, sf_dir, q=None):
+    """Suppliers that fill the same order, with items of more than q where a query's SQL has it so."""
+    items = table(spark, sf_dir, "lineitem")
+    big = (items if q is None else items.where(F.col("l_quantity") > q)).select("l_orderkey", "l_suppkey").distinct()
     a, b = big.withColumnRenamed("l_suppkey", "src"), big.withColumnRenamed("l_suppkey", "dst")
     return a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
 
@@ -237,12 +238,12 @@ def personalized_pagerank(spark, sf_dir):
 
 @query()
 def label_propagation(spark, sf_dir):
-    return graph.label_propagation(_suppliers(spark, sf_dir, 48), 5)
+    return graph.label_propagation(_suppliers(spark, sf_dir), 5)
 
 
 @query()
 def k_core(spark, sf_dir):
-    return _longs(graph.k_core(_suppliers(spark, sf_dir, 48)), "coreness")
+    return _longs(graph.k_core(_suppliers(spark, sf_dir)), "coreness")
 
 
 _BUY = "SELECT DISTINCT o_custkey AS src, l_partkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
@@ -283,7 +284,7 @@ def noisy_or_propagation(spark, sf_dir):
 
 @query()
 def shortest_paths(spark, sf_dir):
-    e = _suppliers(spark, sf_dir, 47).withColumn("w", F.abs(F.col("src") - F.col("dst")).cast("double"))
+    e = graph.held(_suppliers(spark, sf_dir)).withColumn("w", F.abs(F.col("src") - F.col("dst")).cast("double"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return graph.shortest_paths(both, both.agg(F.min("src").alias("id")))
 

@@ -152,3 +152,33 @@ def test_frequent_sequences_of_whole_histories(spark, tmp_path):
     want = collections.Counter(p for kinds in users.values() for p in {">".join(c) for k in range(1, 5) for c in itertools.combinations(kinds, k)})
     got = {r["sequence"]: r["n"] for r in QUERIES["frequent_sequences"](spark, str(tmp_path)).collect()}
     assert got == {p: n for p, n in want.items() if n >= 0.1 * len(users)}
+
+
+def test_supplier_graph_has_all_items(spark, tmp_path):
+    from tessella.plans.library import QUERIES
+
+    rng = random.Random(4)
+    rows = [(o, rng.randrange(14) + 20 * (o % 3 == 0), float(rng.randrange(1, 51))) for o in range(30) for _ in range(rng.randrange(1, 4))] + [(90, 1, None), (90, 77, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near = collections.defaultdict(set)
+    for (o, a, _), (p, b, _) in itertools.product(rows, rows):
+        if o == p and a != b:
+            near[a].add(b)
+    cores, left, k = {}, {x: set(v) for x, v in near.items()}, 0
+    while left:
+        x = min(left, key=lambda x: len(left[x]))
+        cores[x] = k = max(k, len(left[x]))
+        for y in left.pop(x):
+            left[y].discard(x)
+    labels = {x: x for x in near}
+    for _ in range(5):
+        votes = {x: collections.Counter(labels[y] for y in v) for x, v in near.items()}
+        labels = {x: min(v, key=lambda c: (-v[c], c)) for x, v in votes.items()}
+    far = {min(near): 0}
+    for _ in near:
+        for x, y in [(x, y) for x in near if x in far for y in near[x]]:
+            far[y] = min(far.get(y, math.inf), far[x] + abs(x - y))
+    got = lambda name: {r[0]: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("k_core") == cores
+    assert got("label_propagation") == labels
+    assert got("shortest_paths") == far
