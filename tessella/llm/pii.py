@@ -128,13 +128,14 @@ _SPOKEN = re.compile(
     rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20(?:{_dots})\x20)[A-Za-z0-9-]{{2,63}})+",
     re.I,
 )
-_AT_HOST = re.compile(r" at [A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2}")
 _SPOKEN_PART = re.compile(rf"\x20(?:(@|{_ats})|({_dots}))\x20", re.I)
 _DIGIT_RUN = re.compile(rf"\b(?:{_names})(?:[\x20.,-]{{1,2}}(?:{_names}|{_dots}|[0-9]+))*[\x20.,-]{{1,2}}(?:{_names})\b", re.I)
-_DIGIT_HINT = re.compile(rf"\b(?:{_names})[\x20.,-]{{1,2}}(?:{_names}|{_dots}|[0-9]+)\b", re.I)
-_BREAKS = str.maketrans(".,-", "   ")
 _DIGIT_PART = re.compile(rf"({_names})|[\x20.,-]*({_dots})[\x20.,-]*|([0-9]+)|([\x20.,-]+)", re.I)
 _PLUS = re.compile(r"\bplus[\x20-](?=[0-9])", re.I)
+#: Whatever _SPOKEN_PART, _DIGIT_RUN or _PLUS lead to an edit of has one of these: a spelled at before a host, a spelled dot; a digit's name
+#: before another part of a run, a plus before a digit.
+_SPOKEN_HINT = re.compile(rf"\x20(?:(?:@|{_ats})\x20[A-Za-z0-9-]{{1,63}}(?:\.|\x20(?:{_dots})\x20)[A-Za-z0-9-]{{2}}|(?:{_dots})\x20)", re.I)
+_NUMBER_HINT = re.compile(rf"\b(?:(?:{_names})[\x20.,-]{{1,2}}(?:{_names}|{_dots}|[0-9])|plus[\x20-][0-9])", re.I)
 
 
 class Normalised:
@@ -220,15 +221,12 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _may_hide(text: str) -> bool:
+    """False only where no transducer would change the text."""
     if _ODD.search(text):
         return True
     if ("[" in text or "(" in text or "{" in text or "<" in text) and _BRACKETED.search(text):
         return True
-    low = text.lower()
-    if any(f" {d} " in low for d in DOT_NAMES.split()) or " @ " in text or _AT_HOST.search(text):
-        return True
-    words = low.translate(_BREAKS).split() if not low.isascii() else low.replace(".", " ").replace(",", " ").replace("-", " ").split()
-    return sum(map(_DIGIT.__contains__, words)) >= 3 and bool(_DIGIT_HINT.search(text))
+    return bool(_SPOKEN_HINT.search(text) or _NUMBER_HINT.search(text))
 
 
 def find_disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:

@@ -65,6 +65,17 @@ def test_disguises_map_back_to_the_source(text, kind, hidden):
     assert hidden not in pii.redacted(text)
 
 
+def test_the_gate_hides_nothing(monkeypatch):
+    plain = ["jose_garcia arroba ejemplo.es", "jean.dupont arobase exemple.fr", "john.doe AT mail8.example.com", "plus 44 207 183 8750", "(plus four four two zero seven one eight three eight seven five zero)"]
+    words = "jose_garcia john.doe8 arroba AROBASE at AT @ Dot punkt point ejemplo.es example com plus Plus 44 207 183 8750 one TWO drei vier cinq seis oh ( ) ! , . [at] a@b.co the".split()
+    rng = random.Random(8)
+    texts = plain + ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "", "-", "\n"]) for _ in range(rng.randrange(1, 14))) for _ in range(20000)]
+    gated = [pii.all_spans(t) for t in texts]
+    assert all(any(spans.values()) for _, spans in gated[: len(plain)])
+    monkeypatch.setattr(pii, "_may_hide", lambda text: True)
+    assert gated == [pii.all_spans(t) for t in texts]
+
+
 def test_plain_prose_stays():
     for text in ("look at example.com please", "he was at home", "one two three four five six seven", "the point (at least) was made", "", None):
         assert not any(pii.all_spans(text)[1].values())
