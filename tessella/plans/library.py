@@ -849,8 +849,7 @@ def topic_model(spark, sf_dir):
 
 @query()
 def gaussian_mixture(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").withColumn("x", F.slice("embedding", 1, 4))
-    return models.mixture(v, "vec_id", "x", 4)
+    return models.mixture(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4)
 
 
 @query(

@@ -182,3 +182,13 @@ def test_supplier_graph_has_all_items(spark, tmp_path):
     assert got("k_core") == cores
     assert got("label_propagation") == labels
     assert got("shortest_paths") == far
+
+
+def test_gaussian_mixture_sees_every_component(spark, tmp_path):
+    from tessella.plans.library import QUERIES
+
+    rng = random.Random(6)
+    rows = [(i, [0.1] * 4 + [rng.gauss(0.8 * (i % 2), 0.1) for _ in range(60)]) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    # the first four components are alike in all rows
+    assert len({r["cluster"] for r in QUERIES["gaussian_mixture"](spark, str(tmp_path)).collect()}) > 1
