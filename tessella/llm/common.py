@@ -41,7 +41,20 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialise wrote for these frames; nothing that still has to be computed may read them."""
+    for df in frames:
+        path = getattr(df, "_written", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            df._written = None
 
 
 def map_columns(df: DataFrame, fn: Callable[[dict], dict], schema: str, step: int = 512) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,10 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), F.col("u").alias("y"), "m")
         small = small.select(F.explode(F.array("x", "y")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = materialise(small)
+        old, e = e, materialise(small)
+        discard(old, large)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == before:
             break
         before = now
     out = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
-    return materialise(out.unionByName(out.select(F.col("comp").alias("node"), "comp").distinct()))
+    found = materialise(out.unionByName(out.select(F.col("comp").alias("node"), "comp").distinct()))
+    discard(e)
+    return found

@@ -2,30 +2,35 @@
 
 A document's shingles are hashed into groups; the group counts are a point, and
 the overlap of two documents is at most the sum of the coordinates' minima. The
-number of groups follows the size, once to twice it, since a fixed number bounds
-nothing for long texts; larger points fold onto smaller ones. R-trees over
-the points give the pairs whose bound reaches the overlap that the similarity
-asks for, and surviving pairs are verified on the sets themselves.
+number of groups follows the size, a quarter to half of it; larger points fold
+onto smaller ones. R-trees over the points give the pairs whose bound reaches the
+overlap that the similarity asks for, and surviving pairs are verified on the
+sets themselves.
 
 One tree over all documents would compare each query with most of its size
 class, so the trees are partitioned: sets of the wanted similarity share one of
-their first (1 - s) n + 1 shingles in any common order, so a tree is built for
-each shingle of that prefix. The order puts frequent shingles last, by a count
-sketch of all documents, so common passages rarely are in a prefix. Equal sets
-are one node. Which pairs are needed:
-
-1. Star round. In each tree's shingle the member that shares most of its prefix
-   leads; each node is verified against the leader it shares most with.
-2. Trees whose nodes still lie in several components are searched; tree nodes of
-   the query's own component are skipped. Groups of over BLOCK nodes are searched
-   block against block, so no task grows with a group.
+their first (1 - s) n + 1 shingles in any common order, so there is a tree for
+each shingle of that prefix, and shingles with the same members are one tree. The
+order puts frequent shingles last, by a count sketch of all documents. Members
+without another of fitting size are left out. Equal sets are one node.
+
+1. Nearest round. Each node asks the R-trees it shares most with for its nearest
+   neighbour among nodes of lower hash; verified, these pairs are spanning trees
+   of most groups of near copies.
+2. Trees whose nodes still lie in several components are searched for all pairs
+   of different components that the bound allows. Groups of over BLOCK nodes are
+   searched in blocks; members of a tree's largest component are data only, never
+   searched against each other.
 3. Survivors are verified in the same blocks; links that join two components
    already joined add nothing and aren't computed.
 
-The result is every document's component under all links; no link between
-different components is lost. A null or empty text has an empty set and is its
-own component. Repeated rows are equal sets. Nodes are 64-bit hashes of sets;
-that two different sets share one has a chance of 1e-8 in a million sets.
+jaccard_join gives every document's component under all links; no link between
+different components is lost. jaccard_links gives all links between different
+sets instead, which needs no components and skips nothing. A null or empty text
+has an empty set and is its own component. Repeated rows are equal sets, also
+where they repeat an id with another text; extra columns are ignored. Nodes are
+64-bit hashes of sets; that two different sets share one has a chance of 1e-8 in
+a million sets.
 """
 
 from __future__ import annotations
@@ -35,12 +40,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_columns, materialise
+from .common import discard, materialise
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -48,6 +53,7 @@ SKETCH = 1 << 20  # slots of the frequency sketch; its classes, one byte each, g
 PARTS = 256
 BLOCK = 1024
 LEAF = 16
+ASKED = 3  # trees that a node asks for its nearest neighbour
 BITS = 1 << 26  # of the filter of wanted documents
 
 
@@ -65,9 +71,9 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def count_vector(tokens: np.ndarray) -> bytes:
-    """Counts of the tokens' groups, as many groups as tokens or up to twice that, a power of two, half a byte each."""
+    """Counts of the tokens' groups, a quarter to half as many as tokens, a power of two, half a byte each."""
     groups = 16
-    while groups < len(tokens):
+    while 4 * groups < len(tokens):
         groups *= 2
     while True:
         counts = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
@@ -156,12 +162,12 @@ def _sketch_classes(parts: DataFrame) -> bytes:
 
 
 def _postings(docs: DataFrame, width: int, percent: int, classes, buckets: int) -> DataFrame:
-    """(token, node) of prefix shingles that at least two nodes have, tokens being 32 bits and a bucket number."""
+    """(token, node, n) of prefix shingles, tokens being 32 bits and a bucket number; nodes without another of fitting size are left out."""
 
     def emit(batches):
         level = np.frombuffer(classes.value, np.uint8)
         seen: set[int] = set()
-        tokens, nodes, held = [], [], 0
+        tokens, nodes, sizes, held = [], [], [], 0
         for rows in _slices(batches):
             for text in rows["text"]:
                 found = shingle_set(text, width)
@@ -176,15 +182,16 @@ def _postings(docs: DataFrame, width: int, percent: int, classes, buckets: int)
                 first = np.lexsort((found, grade))[: prefix_length(len(found), percent)]
                 tokens.append(found[first])
                 nodes.append(np.full(len(first), node, np.int64))
+                sizes.append(np.full(len(first), len(found), np.int64))
                 held += len(first)
             if held > 1_000_000:
-                yield from flush(tokens, nodes, level)
-                tokens, nodes, held = [], [], 0
+                yield from flush(tokens, nodes, sizes, level)
+                tokens, nodes, sizes, held = [], [], [], 0
         if held:
-            yield from flush(tokens, nodes, level)
+            yield from flush(tokens, nodes, sizes, level)
 
-    def flush(tokens, nodes, level):
-        tokens, nodes = np.concatenate(tokens), np.concatenate(nodes)
+    def flush(tokens, nodes, sizes, level):
+        tokens, nodes, sizes = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
         mixed = mix(tokens)
         bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         short = (mixed & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -192,32 +199,30 @@ def _postings(docs: DataFrame, width: int, percent: int, classes, buckets: int)
         # frequent shingles are dealt by node as well, so that none fills a task
         salt = np.where(grade > 2, 1 + (nodes & ((1 << np.minimum(grade, 16)) - 1)), 0)
         order = np.lexsort((short, salt, bucket))
-        bucket, salt, short, nodes = bucket[order], salt[order], short[order], nodes[order]
+        bucket, salt, short, nodes, sizes = bucket[order], salt[order], short[order], nodes[order], sizes[order].astype("<u4")
         cuts = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | (np.diff(salt) != 0)])
         ends = np.r_[cuts[1:], len(bucket)]
         for i in range(0, len(cuts), 4096):
             b, e = cuts[i : i + 4096], ends[i : i + 4096]
-            yield {
-                "bucket": bucket[b], "salt": salt[b],
-                "tokens": [short[x:y].tobytes() for x, y in zip(b, e)], "nodes": [nodes[x:y].tobytes() for x, y in zip(b, e)],
-            }
+            part = lambda c: [c[x:y].tobytes() for x, y in zip(b, e)]  # noqa: B023, E731
+            yield {"bucket": bucket[b], "salt": salt[b], "tokens": part(short), "nodes": part(nodes), "sizes": part(sizes)}
 
     def gather(key, table):
         bucket, salt = (k.as_py() for k in key)
-        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), "<u4").astype(np.int64)
-        nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
-        order = np.lexsort((nodes, tokens))
-        tokens, nodes = tokens[order], nodes[order]
+        tokens, nodes, sizes = (np.frombuffer(b"".join(table.column(c).to_pylist()), t).astype(np.int64) for c, t in (("tokens", "<u4"), ("nodes", "<i8"), ("sizes", "<u4")))
+        order = np.lexsort((nodes, sizes, tokens))
+        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
         new = np.r_[True, (np.diff(tokens) != 0) | (np.diff(nodes) != 0)]
-        tokens, nodes = tokens[new], nodes[new]
+        tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
         if not salt:  # a salted share can't tell whether others have the token
-            group = np.cumsum(np.r_[True, np.diff(tokens) != 0]) - 1
-            kept = np.bincount(group)[group] > 1
-            tokens, nodes = tokens[kept], nodes[kept]
-        return pa.table({"token": tokens + (bucket << 32), "node": nodes})
+            # in the order of size, one without a fitting neighbour has no partner at all
+            fits = (np.diff(tokens) == 0) & (100 * sizes[:-1] >= percent * sizes[1:])
+            kept = np.r_[False, fits] | np.r_[fits, False]
+            tokens, nodes, sizes = tokens[kept], nodes[kept], sizes[kept]
+        return pa.table({"token": tokens + (bucket << 32), "node": nodes, "n": sizes})
 
-    blobs = _stream(docs.select("text"), emit, "bucket long, salt long, tokens binary, nodes binary")
-    return blobs.groupBy("bucket", "salt").applyInArrow(gather, "token long, node long")
+    blobs = _stream(docs.select("text"), emit, "bucket long, salt long, tokens binary, nodes binary, sizes binary")
+    return blobs.groupBy("bucket", "salt").applyInArrow(gather, "token long, node long, n long")
 
 
 def _wanted(spark, ids: DataFrame) -> bytes:
@@ -287,25 +292,31 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
 
 
 class RTree:
-    """Count vectors in leaves of LEAF neighbours, each with coordinate maxima, least size and component; two levels."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
-        order = np.lexsort((points.argmax(1), sizes, comps))
-        self.order, self.points, self.sizes, self.comps = order, points[order], sizes[order], comps[order]
-        self.levels = []
-        top, low, first, last = self.points, self.sizes, self.comps, self.comps
-        while len(top) > LEAF or not self.levels:
+    """Count vectors in leaves of LEAF neighbours, each with coordinate maxima, least size, and least and greatest mark.
+
+    A mark is a component, whose points then lie together, or a rank.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, marks: np.ndarray, together: bool = True):
+        order = np.lexsort((points.argmax(1), sizes, marks)[: 3 if together else 2])
+        self.order, top, low, first, last = order, points[order], sizes[order], marks[order], marks[order]
+        self.levels = [(top, low, first, last)]
+        while len(top) > LEAF or len(self.levels) == 1:
             cuts = np.arange(0, len(top), LEAF)
             top, low = np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts)
             first, last = np.minimum.reduceat(first, cuts), np.maximum.reduceat(last, cuts)
             self.levels.append((top, low, first, last))
 
+    def _below(self, found: np.ndarray, level: int) -> np.ndarray:
+        found = (found[:, None] * LEAF + np.arange(LEAF)).ravel()
+        return found[found < len(self.levels[level][0])]
+
     def search(self, point: np.ndarray, size: int, comp: int, percent: int) -> np.ndarray:
         """Positions of points of other components whose summed minima reach the overlap needed."""
         found = None
-        for top, low, first, last in reversed([(self.points, self.sizes, self.comps, self.comps), *self.levels]):
-            found = np.arange(len(top)) if found is None else (found[:, None] * LEAF + np.arange(LEAF)).ravel()
-            found = found[found < len(top)]
+        for level in reversed(range(len(self.levels))):
+            top, low, first, last = self.levels[level]
+            found = np.arange(len(top)) if found is None else self._below(found, level)
             found = found[(first[found] != comp) | (last[found] != comp)]
             bound = np.minimum(top[found], point).sum(1)
             # the least size below a tree node asks for the least overlap
@@ -314,6 +325,36 @@ class RTree:
                 return found
         return self.order[found]
 
+    def nearest(self, point: np.ndarray, size: int, rank: int, percent: int) -> tuple[int, int]:
+        """The point of lower rank whose bound exceeds the overlap needed by most: the excess and its position, (-1, -1) if there is none."""
+
+        def excess(level: int, some: np.ndarray) -> np.ndarray:
+            top, low, first, _ = self.levels[level]
+            return np.where(first[some] < rank, np.minimum(top[some], point).sum(1) - overlap_needed(size, low[some], percent), -1)
+
+        height = len(self.levels) - 1
+        highest = np.arange(len(self.levels[height][0]))
+        promise = excess(height, highest)
+        # down the most promising way first, then only where more is promised
+        some, way = highest, promise
+        for level in reversed(range(height)):
+            if way.max() < 0:
+                return -1, -1
+            some = self._below(some[[way.argmax()]], level)
+            way = excess(level, some)
+        best, where = int(way.max()), int(some[way.argmax()])
+        some = highest[promise > best]
+        for level in reversed(range(height)):
+            if not len(some):
+                break
+            some = self._below(some, level)
+            way = excess(level, some)
+            some, way = some[way > best], way[way > best]
+        else:
+            if len(some):
+                best, where = int(way.max()), int(some[way.argmax()])
+        return (best, int(self.order[where])) if best >= 0 else (-1, -1)
+
 
 def _close(points, n, comp, left, right, percent) -> Iterator[tuple[int, int]]:
     """Pairs of left and right rows of different components whose bound reaches the overlap needed."""
@@ -332,9 +373,53 @@ def _close(points, n, comp, left, right, percent) -> Iterator[tuple[int, int]]:
             yield x, y
 
 
+def _classes(table: pa.Table, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]]:
+    """For each number of groups: rows with so many, rows with more whose sizes still allow a link, and the points of both, folded."""
+    vectors = [counts_of(v) for v in table.column("vec").to_pylist()]
+    lengths = np.array([len(v) for v in vectors])
+    for groups in np.unique(lengths):
+        own = np.flatnonzero(lengths == groups)
+        more = np.flatnonzero((lengths > groups) & (percent * n <= 100 * n[own].max()))
+        yield own, more, {int(k): folded(vectors[k], int(groups)) for k in np.concatenate([own, more])}
+
+
+def _nearest(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (g, i, node, n, vec) to (a, b, excess): of each node b and block (g, i) the nearest node a of lower hash."""
+
+    def run(batches):
+        out = {"a": [], "b": [], "excess": []}
+        for _, parts in _runs(batches, 2):
+            table = pa.Table.from_batches(parts)
+            node, n = (np.asarray(table.column(k)) for k in ("node", "n"))
+            if len(node) == 1:
+                continue
+            rank = np.argsort(np.argsort(node))
+            best = np.full(len(node), -1)
+            lead = np.full(len(node), -1)
+            for own, more, points in _classes(table, n, percent):
+                both = np.concatenate([own, more])
+                if len(both) == 1:
+                    continue
+                at = np.stack([points[int(k)] for k in both])
+                tree = RTree(at, n[both], rank[both], together=False)
+                for k, x in enumerate(both):
+                    excess, y = tree.nearest(at[k], n[x], rank[x], percent)
+                    if excess > best[x]:
+                        best[x], lead[x] = excess, both[y]
+            some = np.flatnonzero(lead >= 0)
+            for k, v in zip(out, (node[lead[some]], node[some], best[some])):
+                out[k] += v.tolist()
+            if len(out["a"]) > 20_000:
+                yield out
+                out = {k: [] for k in out}
+        yield out
+
+    dealt = rows.select("g", "i", "node", "n", "vec").repartition("g", "i").sortWithinPartitions("g", "i")
+    return _stream(dealt, run, "a long, b long, excess long")
+
+
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (g, i, j, side, node, comp, n, vec, lists) to pairs (g, i, j, a, b) that the bound allows."""
-    names = ["g", "i", "j", "side", "node", "comp", "n", "vec", "lists"]
+    """rows (g, i, j, side, node, comp, n, vec) to pairs (g, i, j, a, b) that the bound allows."""
 
     def run(batches):
         out = {k: [] for k in ("g", "i", "j", "a", "b")}
@@ -343,32 +428,24 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             node, comp, n, side = (np.asarray(table.column(k)) for k in ("node", "comp", "n", "side"))
             if comp.min() == comp.max() or 100 * n.max() < percent * n.min():
                 continue
-            vectors = [counts_of(v) for v in table.column("vec").to_pylist()]
-            lengths = np.array([len(v) for v in vectors])
-            lists = table.column("lists").to_pylist()
-            lower = [frozenset(t for t in x if t < g) for x in lists] if lists[0] is not None else None
-            for groups in np.unique(lengths):
-                # points of this many groups with each other and with larger ones, folded, whose sizes still allow a link
-                own = np.flatnonzero(lengths == groups)
-                more = np.flatnonzero((lengths > groups) & (percent * n <= 100 * n[own].max()))
-                points = {int(k): folded(vectors[k], int(groups)) for k in np.concatenate([own, more])}
-                on = lambda some, at: some[side[some] == at] if i != j else some
+            on = lambda some, at: some[side[some] == at] if i != j else some  # noqa: B023, E731
+            for own, more, points in _classes(table, n, percent):
                 for left, right in ((on(own, 0), on(own, 1)), (on(own, 0), on(more, 1)), (on(more, 0), on(own, 1)))[: 3 if i != j else 2]:
                     for x, y in _close(points, n, comp, left, right, percent):
-                        if (i != j or left is own and right is more or node[x] < node[y]) and not (lower and lower[x] & lower[y]):
-                            for k, v in zip(out, (g, i, j, int(node[x]), int(node[y]))):
+                        if i != j or left is own and right is more or node[x] < node[y]:
+                            for k, v in zip(out, (g, i, j, *sorted((int(node[x]), int(node[y]))))):
                                 out[k].append(v)
             if len(out["g"]) > 20_000:
                 yield out
                 out = {k: [] for k in out}
         yield out
 
-    dealt = rows.select(*names).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    dealt = rows.select("g", "i", "j", "side", "node", "comp", "n", "vec").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     return _stream(dealt, run, "g long, i long, j long, a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (g, i, j, a, b) to verified links (a, b), within each (g, i, j) no more than join its components."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, joining: bool = True) -> DataFrame:
+    """pairs (g, i, j, a, b) to verified links (a, b); joining: within each (g, i, j) no more than join its components."""
     keys = ["g", "i", "j"]
     members = pairs.select(*keys, F.explode(F.array("a", "b")).alias("a")).distinct()
     sides = members.join(sets.select(F.col("node").alias("a"), "set"), "a").select(*keys, F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), "set")
@@ -390,7 +467,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found[a] = np.frombuffer(data, np.uint64)
                         continue
                     ra, rb = root(a), root(b)
-                    if ra == rb:
+                    if joining and ra == rb:
                         continue
                     x, y = found[a], found[b]
                     both = np.concatenate([x, y])
@@ -406,89 +483,119 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(_stream(dealt, run, "a long, b long"))
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """pairs whose count vectors allow the similarity."""
-    sides = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
-    sides = sides.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b")
-    sides = sides.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-
-    def run(rows: dict) -> dict:
-        kept = []
-        for k, (va, vb) in enumerate(zip(map(counts_of, rows["va"]), map(counts_of, rows["vb"]))):
-            groups = min(len(va), len(vb))
-            if np.minimum(folded(va, groups), folded(vb, groups)).sum() >= overlap_needed(rows["na"][k], rows["nb"][k], percent):
-                kept.append(k)
-        return {c: [rows[c][k] for k in kept] for c in ("g", "i", "j", "a", "b")}
-
-    return materialise(map_columns(sides.select("g", "i", "j", "a", "b", "na", "nb", "va", "vb"), run, "g long, i long, j long, a long, b long"))
+class _Nodes:
+    """The distinct sets of documents: rows (doc_id, node, n), reps (node, rep, n), and nodes (node, n, vec)."""
+
+    def __init__(self, docs: DataFrame, percent: int, width: int):
+        self.docs, self.percent, self.width = docs.select("doc_id", "text"), percent, width
+        summary = materialise(_summaries(self.docs, width))
+        self.rows = summary.where("part IS NULL").select("doc_id", "node", "n")
+        self.full = self.rows.where("n > 0")
+        self.reps = materialise(self.full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+        self.nodes = materialise(summary.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")))
+        self.total = self.reps.agg(F.sum("n")).first()[0] or 0
+        self.summary = summary
+
+    def trees(self) -> DataFrame:
+        """(g, m, weight, node, n): the members of each tree g, their number, and how many shingles have just these members."""
+        classes = self.docs.sparkSession.sparkContext.broadcast(_sketch_classes(self.summary))
+        buckets = max(64, math.ceil(self.total * (100 - self.percent) / 100 / 200_000))
+        post = materialise(_postings(self.docs, self.width, self.percent, classes, buckets))
+        members = post.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("m > 1")
+        trees = members.groupBy("m", "x", "y").agg(F.min("token").alias("g"), F.count(F.lit(1)).alias("weight")).select("g", "m", "weight")
+        out = materialise(post.join(trees, post["token"] == trees["g"]).select("g", "m", "weight", "node", "n"))
+        discard(post)
+        return out
+
+    def points(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.nodes.select("node", "vec"), "node")
+
+    def verified(self, pairs: DataFrame, joining: bool = True) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = _sets(self.docs, self.reps, ends, self.width)
+        out = _verified(pairs, sets, self.percent, joining)
+        discard(pairs, sets)
+        return out
+
+    def searched(self, rows: DataFrame) -> DataFrame:
+        """All pairs (g, i, j, a, b) of different components in rows (g, node, n, comp, own, blocks..) that the bound allows, each once."""
+        # a pair that several trees give is verified once
+        pairs = _candidates(self.points(rows), self.percent).groupBy("a", "b").agg(F.min(F.struct("g", "i", "j")).alias("at")).select("at.*", "a", "b")
+        return materialise(pairs)
+
+
+def _blocks(rows: DataFrame, members: Column, start: Column, against: Column) -> DataFrame:
+    """rows dealt to `members` / BLOCK blocks, numbered from start, each block beside the blocks numbered from 0 to against - 1 and itself."""
+    own = start + F.pmod(F.xxhash64("node", "g"), F.greatest(F.ceil(members / BLOCK), F.lit(1)))
+    rows = rows.withColumn("own", own.cast("long"))
+    beside = F.array_union(F.array("own"), F.sequence(F.lit(0).cast("long"), against.cast("long") - 1))
+    return rows.withColumn("other", F.explode(beside))
 
 
 def jaccard_join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    summary = materialise(_summaries(docs, width))
-    rows = summary.where("part IS NULL").select("doc_id", "node", "n")
-    full = rows.where("n > 0")
-    reps = materialise(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
-    nodes = materialise(summary.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")))
-    total = reps.agg(F.sum("n")).first()[0] or 0
-    links = None
-    if total:
-        classes = spark.sparkContext.broadcast(_sketch_classes(summary))
-        buckets = max(64, math.ceil(total * (100 - percent) / 100 / 200_000))
-        links = _links(docs, reps, nodes, classes, buckets, percent, width)
-    if links is None:
+    found = _Nodes(docs, percent, width)
+    rows, full, reps = found.rows, found.full, found.reps
+    if not found.total:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    comp = components(links)
+    comp = components(_links(found))
     labels = reps.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
     labels = materialise(labels.join(least, "comp").select("node", "component_id"))
     linked = full.join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    discard(found.nodes, reps, comp)
     return linked.unionByName(alone)
 
 
-def _links(docs, reps, nodes, classes, buckets, percent, width) -> DataFrame:
-    post = materialise(_postings(docs, width, percent, classes, buckets))
-    # shingles with the same members are one tree
-    members = post.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("m > 1")
-    trees = materialise(members.groupBy("m", "x", "y").agg(F.min("token").alias("g"), F.count(F.lit(1)).alias("weight")).select("g", "m", "weight"))
-    post = materialise(post.join(trees, post["token"] == trees["g"]).select("g", "m", "weight", "node"))
-    # 1. the member that shares most leads
-    score = post.groupBy("node").agg(F.sum(F.col("weight") * F.log2("m")).alias("score"))
-    scored = post.join(score, "node")
-    leads = scored.groupBy("g").agg(F.max(F.struct("score", "node")).alias("top")).select("g", F.col("top.node").alias("lead"))
-    shared = post.join(leads, "g").where("node <> lead").groupBy("node", "lead").agg(F.sum("weight").alias("w"))
-    stars = shared.groupBy("node").agg(F.max(F.struct("w", "lead")).alias("top")).select(F.col("top.lead").alias("a"), F.col("node").alias("b"))
-    stars = stars.select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.lit(4096)).alias("i"), F.lit(0).cast("long").alias("j"), "a", "b")
-    stars = _bounded(stars, nodes, percent)
-    # as many tasks for a leader as it has hundreds of followers
-    some = stars.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / 256).alias("k"))
-    stars = stars.join(some, "g").withColumn("i", F.pmod("i", "k")).drop("k")
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = _verified(stars, _sets(docs, reps, ends(stars), width), percent)
-    # 2. trees with several components
+def nearest_links(found: _Nodes, trees: DataFrame) -> DataFrame:
+    """Verified links of each node to the nearest of lower hash in the ASKED trees whose members share most shingles."""
+    most = Window.partitionBy("node").orderBy(F.desc(F.col("weight") * F.log2("m")), "g")
+    asked = trees.withColumn("k", F.row_number().over(most)).where(F.col("k") <= ASKED)
+    asked = asked.withColumn("i", F.pmod(F.xxhash64("node", "g"), F.ceil(F.col("m") / BLOCK)).cast("long"))
+    pairs = _nearest(found.points(asked), found.percent)
+    pairs = materialise(pairs.groupBy("b").agg(F.max(F.struct("excess", "a")).alias("top")).select(F.col("top.a").alias("a"), "b"))
+    # a node with many followers is verified in several tasks
+    some = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("k"))
+    pairs = pairs.join(some, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), "k").alias("i"), F.lit(0).cast("long").alias("j"), "a", "b")
+    return found.verified(materialise(pairs))
+
+
+def _links(found: _Nodes) -> DataFrame:
+    trees = found.trees()
+    links = nearest_links(found, trees)
     comp = components(links)
-    post = post.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    post = materialise(post.join(nodes.select("node", "n"), "node"))
-    mixed = post.groupBy("g").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("n").alias("least"), F.max("n").alias("most")).where("c <> d").select("g")
-    # of rows of a tree in the order of size, one without a near neighbour has no partner at all
-    in_order = Window.partitionBy("g").orderBy("n", "node")
-    near = (100 * F.lag("n").over(in_order) >= percent * F.col("n")) | (percent * F.lead("n").over(in_order) <= 100 * F.col("n"))
-    rows = materialise(post.join(mixed, "g").withColumn("near", near).where("near").drop("near"))
-    # a large group's members know their other large trees, so that a pair is found in one of them only
-    lists = post.where(F.col("m") > 64).groupBy("node").agg(F.collect_list("g").alias("lists"))
-    rows = rows.join(lists, "node", "left").join(nodes.select("node", "vec"), "node")
-    rows = rows.withColumn("lists", F.when(F.col("m") > 64, F.col("lists")))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
-    rows = rows.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("node", "g"), F.col("k")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = rows.withColumn("side", (F.col("own") == F.col("j")).cast("int"))
-    # a pair that several trees give is verified once
-    pairs = _candidates(rows, percent).groupBy("a", "b").agg(F.min(F.struct("g", "i", "j")).alias("at")).select("at.*", "a", "b")
-    pairs = materialise(pairs)
-    # 3. one more verification
-    more = _verified(pairs, _sets(docs, reps, ends(pairs), width), percent)
+    rows = trees.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("g", "node", "n", "comp")
+    rows = materialise(rows)
+    sizes = rows.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
+    trees_left = sizes.groupBy("g").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
+    left = rows.join(trees_left.select("g", "m", F.col("top.c").alias("large"), F.col("top.comp").alias("largest")), "g")
+    # blocks of other members come first; members of a large largest component are beside those only
+    small = F.greatest(F.ceil((F.col("m") - F.col("large")) / BLOCK), F.lit(1))
+    split = F.col("m") > BLOCK
+    is_data = split & (F.col("comp") == F.col("largest"))
+    queries = _blocks(left.where(~is_data), F.when(split, F.col("m") - F.col("large")).otherwise(F.lit(1)), F.lit(0), F.when(split, small + F.ceil(F.col("large") / BLOCK)).otherwise(F.lit(1)))
+    data = _blocks(left.where(is_data), F.col("large"), small, small)
+    data = data.where("own <> other")
+    both = queries.unionByName(data).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") == F.col("j")).cast("int"))
+    more = found.verified(found.searched(both))
+    discard(trees, rows)
     return links.unionByName(more)
+
+
+def jaccard_links(docs: DataFrame, percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """All links of different sets as (a, b), the smallest doc_ids of each, a < b; and membership (doc_id, rep), n_shingles of every row.
+
+    The work grows with the number of links: m near copies that all differ have m * m / 2 of them. Rows with an empty set have rep null.
+    """
+    found = _Nodes(docs, percent, width)
+    membership = found.rows.join(found.reps.select("node", "rep"), "node", "left").select("doc_id", "rep", F.col("n").alias("n_shingles"))
+    if not found.total:
+        return membership.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), membership
+    rows = found.trees().select("g", "m", "node", "n", F.col("node").alias("comp"))
+    rows = _blocks(rows, F.col("m"), F.lit(0), F.ceil(F.col("m") / BLOCK))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") == F.col("j")).cast("int"))
+    links = found.verified(found.searched(rows), joining=False)
+    of = lambda side: found.reps.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}"))
+    links = links.join(of("a"), "a").join(of("b"), "b")
+    return links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")), membership

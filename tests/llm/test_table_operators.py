@@ -20,11 +20,16 @@ from tessella.llm.components import components  # noqa: E402
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def plain_components(rows, percent=75):
+def plain_sets(rows):
     sets = []
     for _, text in rows:
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
         sets.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set())
+    return sets
+
+
+def plain_components(rows, percent=75):
+    sets = plain_sets(rows)
     up = list(range(len(rows)))
 
     def root(x):
@@ -41,9 +46,7 @@ def plain_components(rows, percent=75):
     return {i: (len(s), least[root(k)]) for k, ((i, _), s) in enumerate(zip(rows, sets))}
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_jaccard_join_finds_every_component(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+def near_copies():
     rng = random.Random(5)
     base = [[rng.choice("abcdefgh") * rng.randrange(1, 4) + str(rng.randrange(60)) for _ in range(rng.choice([3, 8, 20, 60, 150]))] for _ in range(12)]
     rows = []
@@ -53,12 +56,40 @@ def test_jaccard_join_finds_every_component(spark, monkeypatch, block):
             k = rng.randrange(len(words))
             words[k : k + rng.randrange(2)] = [rng.choice("ABCxyz") + str(rng.randrange(99))]
         rows.append((i, " ".join(words)))
-    rows += [(900, None), (901, ""), (902, " \n"), (903, rows[0][1] + " "), (904, rows[0][1].upper())]
+    return rows + [(900, None), (901, ""), (902, " \n"), (903, rows[0][1] + " "), (904, rows[0][1].upper())]
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_jaccard_join_finds_every_component(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs).collect()}
     assert got == plain_components(rows)
 
 
+def test_trees_give_links_and_all_links(spark, monkeypatch):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # spanning links come from the nearest-neighbour search of the trees, true ones only
+    sets = plain_sets(rows)
+    found = jaccard._Nodes(docs, 75, 5)
+    rep = {r["node"]: r["rep"] for r in found.reps.collect()}
+    at = {i: s for (i, _), s in zip(rows, sets)}
+    links = [(at[rep[r["a"]]], at[rep[r["b"]]]) for r in jaccard.nearest_links(found, found.trees()).collect()]
+    assert len(links) > 20 and all(100 * len(a & b) >= 75 * len(a | b) for a, b in links)
+    # every link of different sets, named by their least ids
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    pairs, membership = jaccard.jaccard_links(docs)
+    least = {}
+    for (i, _), s in zip(rows, sets):
+        least.setdefault(frozenset(s), i)
+    wanted = {tuple(sorted((least[a], least[b]))) for a, b in itertools.combinations(least, 2) if a and b and 100 * len(a & b) >= 75 * len(a | b)}
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    assert {r["doc_id"]: r["rep"] for r in membership.collect()} == {i: least[frozenset(s)] if s else None for (i, _), s in zip(rows, sets)}
+
+
 def test_jaccard_join_of_nothing(spark):
     for rows in ([], [(1, None), (2, "")]):
         got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -85,6 +116,14 @@ def test_tree_search_equals_scan():
         assert sorted(tree.search(points[k], sizes[k], comps[k], 75)) == wanted.tolist()
 
 
+    ranks = rng.permutation(300)
+    tree = jaccard.RTree(points, sizes, ranks, together=False)
+    for k in range(0, 300, 7):
+        excess = np.where(ranks < ranks[k], np.minimum(points, points[k]).sum(1) - jaccard.overlap_needed(sizes[k], sizes, 75), -1)
+        best, where = tree.nearest(points[k], sizes[k], ranks[k], 75)
+        assert best == max(excess.max(), -1) and (best < 0 or excess[where] == best)
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (5, 5)], "a long, b long")
     found = {r["node"]: r["comp"] for r in components(e).collect()}
