@@ -11,7 +11,8 @@ characters; bracketed and spelled at/dot; runs of spelled digits. Plain words
 "at" and "dot" count only where together they form an address.
 
 Nulls and empty texts have no spans. Repeated rows are treated alike, an empty
-table gives none, extra columns are ignored. All scans are linear in the text.
+table gives none, extra columns are ignored. Scans are linear in the text; all
+quantifiers inside which a scan may start anew are bounded.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import re
 import string
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -121,20 +123,23 @@ _DIGIT = {w: str(i) for names in DIGIT_NAMES.values() for i, w in enumerate(name
 _names = "|".join(sorted(map(re.escape, _DIGIT), key=len, reverse=True))
 _dots, _ats = DOT_NAMES.replace(" ", "|"), AT_NAMES.replace(" ", "|")
 _ODD = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\u024f\u2016-\u2027\u2030-\u205e\u20a0-\u20bf]")
-_BRACKETED = re.compile(rf"\x20*[\[({{<]\x20*(?:(@|(?:{_ats}))|(\.|(?:{_dots})))\x20*[\])}}>]\x20*", re.I)
-#: local AT label (DOT label)+ with plain words; at least the at or one dot is spelled.
+_BRACKETED = re.compile(rf"[\[({{<]\x20*(?:(@|(?:{_ats}))|(\.|(?:{_dots})))\x20*[\])}}>]", re.I)
+_dot = rf"(?:\.|\x20\.\x20|\x20(?:{_dots})\x20)"
+#: local AT label (DOT label)+ with plain words; at least the at or one dot is spelled or stands alone.
 _SPOKEN = re.compile(
-    rf"(?<![\w.%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|\x20(?:{_dots})\x20)[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?:@|\x20@\x20|\x20(?:{_ats})\x20)"
-    rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20(?:{_dots})\x20)[A-Za-z0-9-]{{2,63}})+",
+    rf"(?<![\w.%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_dot}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?:@|\x20@\x20|\x20(?:{_ats})\x20)"
+    rf"[A-Za-z0-9-]{{1,63}}(?:{_dot}[A-Za-z0-9-]{{2,63}})+",
     re.I,
 )
-_SPOKEN_PART = re.compile(rf"\x20(?:(@|{_ats})|({_dots}))\x20", re.I)
+_SPOKEN_PART = re.compile(rf"\x20(?:(@|{_ats})|(\.|{_dots}))\x20", re.I)
+#: four numerals with dots, of which at least one is spelled
+_SPOKEN_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:{_dot}[0-9]{{1,3}}){{3}}(?!\w)", re.I)
 _DIGIT_RUN = re.compile(rf"\b(?:{_names})(?:[\x20.,-]{{1,2}}(?:{_names}|{_dots}|[0-9]+))*[\x20.,-]{{1,2}}(?:{_names})\b", re.I)
 _DIGIT_PART = re.compile(rf"({_names})|[\x20.,-]*({_dots})[\x20.,-]*|([0-9]+)|([\x20.,-]+)", re.I)
 _PLUS = re.compile(r"\bplus[\x20-](?=[0-9])", re.I)
 #: Whatever _SPOKEN_PART, _DIGIT_RUN or _PLUS lead to an edit of has one of these: a spelled at before a host, a spelled dot; a digit's name
 #: before another part of a run, a plus before a digit.
-_SPOKEN_HINT = re.compile(rf"\x20(?:(?:@|{_ats})\x20[A-Za-z0-9-]{{1,63}}(?:\.|\x20(?:{_dots})\x20)[A-Za-z0-9-]{{2}}|(?:{_dots})\x20)", re.I)
+_SPOKEN_HINT = re.compile(rf"\x20(?:(?:@|{_ats})\x20[A-Za-z0-9-]{{1,63}}{_dot}[A-Za-z0-9-]{{2}}|(?:{_dots})\x20)", re.I)
 _NUMBER_HINT = re.compile(rf"\b(?:(?:{_names})[\x20.,-]{{1,2}}(?:{_names}|{_dots}|[0-9])|plus[\x20-][0-9])", re.I)
 
 
@@ -192,7 +197,16 @@ def _odd_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _address_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = [(*m.span(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)] if re.search(r"[\[({<]", text) else []
+    edits, end = [], 0
+    for m in _BRACKETED.finditer(text):
+        low, high = m.span()
+        # blanks around belong to it, those between two brackets to the first
+        while low > end and text[low - 1] == " ":
+            low -= 1
+        while high < len(text) and text[high] == " ":
+            high += 1
+        edits.append((low, high, "@" if m[1] else "."))
+        end = high
     return edits
 
 
@@ -200,14 +214,19 @@ def _spoken_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SPOKEN.finditer(text):
         parts = [(*p.span(), "@" if p[1] else ".") for p in _SPOKEN_PART.finditer(text, *m.span())]
-        said = [p for p in parts if p[2] == "."]
+        said = [p for p in parts if text[p[0] + 1 : p[1] - 1] not in "@."]
+        said = [p for p in said if p[2] == "."]
         at_spelled = any(p[2] == "@" for p in parts)
         local = text[m.start() : parts[0][0]] if parts else ""
         # "at" beside plain dots is common prose, unless the word before it looks like an address's
         odd = at_spelled and re.search(r"[0-9._+]", local) and re.search(r"\.[A-Za-z]{2,}\Z", m[0]) and text[m.end() : m.end() + 1] != "@"
         if said or odd or (at_spelled and " @ " in m[0]):
             out += parts
-    return out
+    for m in _SPOKEN_IP.finditer(text):
+        parts = [(*p.span(), ".") for p in _SPOKEN_PART.finditer(text, *m.span())]
+        if any(text[a + 1 : b - 1] != "." for a, b, _ in parts):
+            out += parts
+    return sorted(out)
 
 
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
@@ -243,9 +262,11 @@ def find_disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Spa
     if n.text == text:
         return found
     for kind, spans in find_spans(n.text).items():
+        starts = [a for a, _ in base[kind]]  # base spans of a kind are disjoint and ascending
         for span in spans:
             low, high = n.source(span)
-            if n.touched(span) and not any(a < high and low < b for a, b in base[kind]):
+            before = bisect_left(starts, high) - 1
+            if n.touched(span) and (before < 0 or base[kind][before][1] <= low):
                 found[kind].append((low, high))
     return found
 

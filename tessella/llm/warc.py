@@ -6,14 +6,18 @@ bytes each. Every segment is one row of Spark's text writer, which ends it with
 the last line feed of its trailer, so the files are plain gzipped WARC. Reading:
 Spark's text reader streams lines to a parser, which hands out rows (record,
 chunk number, bytes of the chunk, size and digest so far). The digest is carried
-from segment to segment; neither side of a file ever builds a record in one
-piece. Spark's readers and writers reach any file system.
+from segment to segment. Neither side builds a record in one piece: the writer
+cuts segments from the payload's Arrow buffer without copying the whole, and
+hands them on in batches bounded by bytes. Spark's readers and writers reach any
+file system; Spark compresses a file as a whole, so there is no member per record.
 
 Of records with equal payloads of at least `least` bytes, the one with the
 smallest id is a response, the others are revisits that refer to it and carry no
 payload, only its digest and length.
 
-A null payload is empty. Repeated ids with equal payloads are records of their
+A null payload is empty. A null id is written as "null" and read back as null;
+it is never referred to, so of equal payloads without any id all are responses.
+Repeated ids with equal payloads are records of their
 own; each revisit refers to the smallest id, and repeats of that id are responses
 too. An empty table gives no records. Payloads may hold any text, WARC headers
 and blank lines included, since lengths, not marks, end a record.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,47 +42,55 @@ CHUNK = 1 << 20
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LINES = "value string"
+FLUSH = 4 << 20  # bytes of segments that a batch of either side gathers
 _CHUNKS = "id long, record_type string, refers_to long, chunk int, bytes long, size_so_far long, digest_so_far string, stated_digest string, stated_size long, last boolean, data binary"
 
 
-def classified(pages: DataFrame, key: str, payload: str, least: int = 0) -> DataFrame:
-    """pages with id, payload, digest (hex SHA-1), size and first, the response's id. Digests are compared, not payloads."""
-    rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(payload, F.lit("")).alias("payload"))
+def classified(pages: DataFrame, key: str, payload: str, least: int = 0, uri: str = "url") -> DataFrame:
+    """pages with id, uri (null where pages have no such column), payload, digest (hex SHA-1), size and first, the response's id. Digests are compared, not payloads."""
+    address = F.col(uri).cast("string") if uri in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(key).cast("long").alias("id"), address.alias("uri"), F.coalesce(payload, F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload").cast("long"))
     # only short rows meet: the join's result is written, then joined to nothing else
     first = materialise(rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     return rows.join(first, "digest", "left")
 
 
-def _segments(data: bytes, size: int) -> Iterator[bytes]:
+def _segments(data: memoryview, size: int) -> Iterator[bytes]:
     """Pieces of at most size bytes (4 at least) that end between characters; one empty piece of nothing."""
     at = 0
     while True:
         end = min(len(data), at + max(size, 4))
         while end < len(data) and data[end] & 0xC0 == 0x80:
             end -= 1
-        yield data[at:end]
+        yield bytes(data[at:end])
         at = end
         if at == len(data):
             return
 
 
-def _records(rows: dict, size: int) -> Iterator[str]:
-    """The text of each segment, without its last line feed."""
-    for id_, payload, digest, first in zip(rows["id"], rows["payload"], rows["digest"], rows["first"]):
-        data = payload.encode()
-        name = f"<urn:page:{id_}>"
-        stated = f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}\r\nWARC-Payload-Length: {len(data)}\r\n"
-        if first is not None and first != id_:
-            yield _record("revisit", name, f"WARC-Refers-To: <urn:page:{first}>\r\nWARC-Profile: {_PROFILE}\r\n{stated}", b"")
-            continue
-        segmented = len(data) > size
-        for i, piece in enumerate(_segments(data, size)):
-            more = f"WARC-Segment-Number: {i + 1}\r\n" if segmented else ""
-            if i == 0:
-                yield _record("response", name, stated + more, (_HTTP % len(data)).encode() + piece)
-            else:
-                yield _record("continuation", f"<urn:page:{id_}:{i + 1}>", f"WARC-Segment-Origin-ID: {name}\r\n{more}", piece)
+def _name(id_: int | None, segment: int = 1) -> str:
+    return f"<urn:page:{'null' if id_ is None else id_}{f':{segment}' if segment > 1 else ''}>"
+
+
+def _records(id_: int | None, uri: str | None, data: memoryview, digest: str, first: int | None, size: int) -> Iterator[str]:
+    """The text of each segment of a record, without its last line feed."""
+    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri or "") or _name(id_)[1:-1]
+    about = f"WARC-Target-URI: {target}\r\n"
+    stated = f"{about}WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}\r\nWARC-Payload-Length: {len(data)}\r\n"
+    if first is not None and first != id_:
+        yield _record("revisit", _name(id_), f"WARC-Refers-To: {_name(first)}\r\nWARC-Profile: {_PROFILE}\r\n{stated}", b"")
+        return
+    head, at = (_HTTP % len(data)).encode(), 0
+    segmented = len(data) > size
+    for i, piece in enumerate(_segments(data, size)):
+        at += len(piece)
+        more = f"WARC-Segment-Number: {i + 1}\r\n" if segmented else ""
+        if i == 0:
+            yield _record("response", _name(id_), stated + more, head + piece)
+        else:
+            total = f"WARC-Segment-Total-Length: {len(head) + len(data)}\r\n" if at == len(data) else ""
+            yield _record("continuation", _name(id_, i + 1), f"{about}WARC-Segment-Origin-ID: {_name(id_)}\r\n{more}{total}", piece)
 
 
 def _record(kind: str, name: str, more: str, block: bytes) -> str:
@@ -90,12 +103,21 @@ def write(rows: DataFrame, path: str, chunk: int = CHUNK) -> None:
     target = to_arrow_schema(StructType.fromDDL(_LINES))
 
     def run(batches):
+        lines, held = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                lines = list(_records(batch.slice(at, 64).to_pydict(), chunk))
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], schema=target)
-
-    chosen = rows.select("id", "payload", "digest", "first")
+            ids, uris, digests, firsts = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "uri", "digest", "first"))
+            payloads = batch.column(batch.schema.get_field_index("payload"))
+            for k in range(batch.num_rows):
+                data = memoryview(payloads[k].as_buffer())
+                for line in _records(ids[k].as_py(), uris[k].as_py(), data, digests[k].as_py(), firsts[k].as_py(), chunk):
+                    lines.append(line)
+                    held += len(line)
+                    if held > FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], schema=target)
+                        lines, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], schema=target)
+
+    chosen = rows.select("id", "uri", "payload", "digest", "first")
     chosen.mapInArrow(run, _LINES).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
@@ -152,7 +174,7 @@ class Parser:
     def row(self) -> tuple:
         h = self.origin
         self.size += self.held
-        page = lambda name: int(h[name].rpartition(":")[2].rstrip(">")) if name in h else None
+        page = lambda name: int(h[name].split(":")[2].rstrip(">")) if name in h and "null" not in h[name] else None
         so_far = base64.b32encode(self.sha.digest()).decode()
         stated, length = h["warc-payload-digest"].removeprefix("sha1:"), int(h["warc-payload-length"])
         revisit = h["warc-type"] == "revisit"
@@ -178,7 +200,7 @@ def read_chunks(spark: SparkSession, path: str, with_data: bool = True) -> DataF
                 for row in parser.feed(line.encode() + b"\n"):
                     rows.append(row)
                     held += row[4] + 200
-                    if held > 4 * CHUNK:
+                    if held > FLUSH:
                         yield _batch(rows, target)
                         rows, held = [], 0
         if parser.head is not None:
