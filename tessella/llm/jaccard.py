@@ -2,8 +2,8 @@
 
 A document's shingles are hashed into groups; the group counts are a point, and
 the overlap of two documents is at most the sum of the coordinates' minima. The
-number of groups follows the size, a quarter to half of it; larger points fold
-onto smaller ones. R-trees over the points give the pairs whose bound reaches the
+number of groups follows the size, a half to all of it, above 512 a quarter to a
+half; larger points fold onto smaller ones. R-trees over the points give the pairs whose bound reaches the
 overlap that the similarity asks for, and surviving pairs are verified on the
 sets themselves.
 
@@ -14,15 +14,17 @@ each shingle of that prefix, and shingles with the same members are one tree. Th
 order puts frequent shingles last, by a count sketch of all documents. Members
 without another of fitting size are left out. Equal sets are one node.
 
-1. Nearest round. Each node asks the R-trees it shares most with for its nearest
-   neighbour among nodes of lower hash; verified, these pairs are spanning trees
-   of most groups of near copies.
+1. Nearest rounds. Each node asks the R-trees it shares most with for its nearest
+   neighbour, and for the nearest of lower hash; verified, these pairs span most
+   groups of near copies. Trees of over SMALL nodes that still hold several
+   components are asked again for each node's nearest in another component, until
+   that finds no link, at most ROUNDS times.
 2. Trees whose nodes still lie in several components are searched for all pairs
    of different components that the bound allows. Groups of over BLOCK nodes are
    searched in blocks; members of a tree's largest component are data only, never
    searched against each other.
-3. Survivors are verified in the same blocks; links that join two components
-   already joined add nothing and aren't computed.
+3. Survivors are verified in parts of at most about PAIRS pairs; links that join two
+   components already joined there add nothing and aren't computed.
 
 jaccard_join gives every document's component under all links; no link between
 different components is lost. jaccard_links gives all links between different
@@ -53,7 +55,10 @@ SKETCH = 1 << 20  # slots of the frequency sketch; its classes, one byte each, g
 PARTS = 256
 BLOCK = 1024
 LEAF = 16
-ASKED = 3  # trees that a node asks for its nearest neighbour
+ASKED = 3  # trees that a node asks for its nearest neighbour at first
+SMALL = 64
+ROUNDS = 3
+PAIRS = 2048
 BITS = 1 << 26  # of the filter of wanted documents
 
 
@@ -71,9 +76,9 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def count_vector(tokens: np.ndarray) -> bytes:
-    """Counts of the tokens' groups, a quarter to half as many as tokens, a power of two, half a byte each."""
+    """Counts of the tokens' groups, a half to all of the tokens' number, above 512 a quarter to a half; a power of two, half a byte each."""
     groups = 16
-    while 4 * groups < len(tokens):
+    while (2 if len(tokens) <= 512 else 4) * groups < len(tokens):
         groups *= 2
     while True:
         counts = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
@@ -115,7 +120,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         load = np.zeros(SKETCH, np.int64)
         for rows in _slices(batches):
-            out = {"doc_id": rows["doc_id"], "node": [], "n": [], "vec": []}
+            out = {"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "node": [], "n": [], "vec": []}
             sets = [shingle_set(text, width) for text in rows["text"]]
             load += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             for tokens in sets:
@@ -127,10 +132,10 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
         if load.any():
             each = SKETCH // PARTS
             none = [None] * PARTS
-            yield {"doc_id": none, "node": none, "n": none, "vec": none, "part": list(range(PARTS)), "load": [_packed(load[i * each : (i + 1) * each]) for i in range(PARTS)]}
+            yield {"doc_id": none, "text_hash": none, "node": none, "n": none, "vec": none, "part": list(range(PARTS)), "load": [_packed(load[i * each : (i + 1) * each]) for i in range(PARTS)]}
 
     kind = dict(docs.dtypes)["doc_id"]
-    return _stream(docs.select("doc_id", "text"), run, f"doc_id {kind}, node long, n long, vec binary, part int, load binary")
+    return _stream(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {kind}, text_hash long, node long, n long, vec binary, part int, load binary")
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -325,12 +330,13 @@ class RTree:
                 return found
         return self.order[found]
 
-    def nearest(self, point: np.ndarray, size: int, rank: int, percent: int) -> tuple[int, int]:
-        """The point of lower rank whose bound exceeds the overlap needed by most: the excess and its position, (-1, -1) if there is none."""
+    def nearest(self, point: np.ndarray, size: int, mark: int, percent: int, lower: bool = False) -> tuple[int, int]:
+        """The point of another mark, or of a lower one, whose bound exceeds the overlap needed by most: the excess and its position, (-1, -1) if there is none."""
 
         def excess(level: int, some: np.ndarray) -> np.ndarray:
-            top, low, first, _ = self.levels[level]
-            return np.where(first[some] < rank, np.minimum(top[some], point).sum(1) - overlap_needed(size, low[some], percent), -1)
+            top, low, first, last = self.levels[level]
+            fits = first[some] < mark if lower else (first[some] != mark) | (last[some] != mark)
+            return np.where(fits, np.minimum(top[some], point).sum(1) - overlap_needed(size, low[some], percent), -1)
 
         height = len(self.levels) - 1
         highest = np.arange(len(self.levels[height][0]))
@@ -383,39 +389,43 @@ def _classes(table: pa.Table, n: np.ndarray, percent: int) -> Iterator[tuple[np.
         yield own, more, {int(k): folded(vectors[k], int(groups)) for k in np.concatenate([own, more])}
 
 
-def _nearest(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (g, i, node, n, vec) to (a, b, excess): of each node b and block (g, i) the nearest node a of lower hash."""
+def _nearest(rows: DataFrame, percent: int, lower: bool) -> DataFrame:
+    """rows (g, i, node, comp, n, vec) to (a, b, excess): of each node b and block (g, i) the nearest node a of another component.
+
+    lower: also the nearest of lower hash.
+    """
 
     def run(batches):
-        out = {"a": [], "b": [], "excess": []}
+        out = {"a": [], "b": [], "excess": [], "low": []}
         for _, parts in _runs(batches, 2):
             table = pa.Table.from_batches(parts)
-            node, n = (np.asarray(table.column(k)) for k in ("node", "n"))
-            if len(node) == 1:
+            node, comp, n = (np.asarray(table.column(k)) for k in ("node", "comp", "n"))
+            if comp.min() == comp.max():
                 continue
-            rank = np.argsort(np.argsort(node))
-            best = np.full(len(node), -1)
-            lead = np.full(len(node), -1)
+            marks = [(comp, False), (np.argsort(np.argsort(node)), True)][: 1 + lower]
+            best, lead = np.full((2, len(node)), -1), np.full((2, len(node)), -1)
             for own, more, points in _classes(table, n, percent):
                 both = np.concatenate([own, more])
                 if len(both) == 1:
                     continue
                 at = np.stack([points[int(k)] for k in both])
-                tree = RTree(at, n[both], rank[both], together=False)
-                for k, x in enumerate(both):
-                    excess, y = tree.nearest(at[k], n[x], rank[x], percent)
-                    if excess > best[x]:
-                        best[x], lead[x] = excess, both[y]
-            some = np.flatnonzero(lead >= 0)
-            for k, v in zip(out, (node[lead[some]], node[some], best[some])):
-                out[k] += v.tolist()
+                for turn, (mark, low) in enumerate(marks):
+                    tree = RTree(at, n[both], mark[both], together=not low)
+                    for k, x in enumerate(both):
+                        excess, y = tree.nearest(at[k], n[x], mark[x], percent, low)
+                        if excess > best[turn][x]:
+                            best[turn][x], lead[turn][x] = excess, both[y]
+            for turn in range(len(marks)):
+                some = np.flatnonzero(lead[turn] >= 0)
+                for k, v in zip(out, (node[lead[turn][some]], node[some], best[turn][some], np.full(len(some), turn))):
+                    out[k] += v.tolist()
             if len(out["a"]) > 20_000:
                 yield out
                 out = {k: [] for k in out}
         yield out
 
-    dealt = rows.select("g", "i", "node", "n", "vec").repartition("g", "i").sortWithinPartitions("g", "i")
-    return _stream(dealt, run, "a long, b long, excess long")
+    dealt = rows.select("g", "i", "node", "comp", "n", "vec").repartition("g", "i").sortWithinPartitions("g", "i")
+    return _stream(dealt, run, "a long, b long, excess long, low int")
 
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
@@ -489,7 +499,7 @@ class _Nodes:
     def __init__(self, docs: DataFrame, percent: int, width: int):
         self.docs, self.percent, self.width = docs.select("doc_id", "text"), percent, width
         summary = materialise(_summaries(self.docs, width))
-        self.rows = summary.where("part IS NULL").select("doc_id", "node", "n")
+        self.rows = summary.where("part IS NULL").select("doc_id", "text_hash", "node", "n")
         self.full = self.rows.where("n > 0")
         self.reps = materialise(self.full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
         self.nodes = materialise(summary.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")))
@@ -511,17 +521,27 @@ class _Nodes:
         return rows.join(self.nodes.select("node", "vec"), "node")
 
     def verified(self, pairs: DataFrame, joining: bool = True) -> DataFrame:
+        """Links among pairs (g, a, b), of which those of one g are verified together, in several parts where they are many."""
+        some = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("k"))
+        parts = pairs.join(some, "g").select("g", F.pmod(F.xxhash64("a", "b"), "k").alias("i"), F.lit(0).cast("long").alias("j"), "a", "b")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = _sets(self.docs, self.reps, ends, self.width)
-        out = _verified(pairs, sets, self.percent, joining)
+        out = _verified(parts, sets, self.percent, joining)
         discard(pairs, sets)
         return out
 
+    def nearest(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Verified links of each node in rows (g, m, node, n, comp) to its nearest in another component, at first also to that of lower hash."""
+        blocks = F.pmod(F.xxhash64("node", "g", F.lit(turn)), F.ceil(F.col("m") / BLOCK)).cast("long")
+        pairs = _nearest(self.points(rows.withColumn("i", blocks)), self.percent, turn == 0)
+        pairs = pairs.groupBy("b", "low").agg(F.max(F.struct("excess", "a")).alias("top")).select(F.least("top.a", "b").alias("a"), F.greatest("top.a", "b").alias("b"), F.col("top.a").alias("g"))
+        # a node that many have as their nearest is verified with all of them
+        return self.verified(materialise(pairs.groupBy("a", "b").agg(F.min("g").alias("g"))))
+
     def searched(self, rows: DataFrame) -> DataFrame:
         """All pairs (g, i, j, a, b) of different components in rows (g, node, n, comp, own, blocks..) that the bound allows, each once."""
         # a pair that several trees give is verified once
-        pairs = _candidates(self.points(rows), self.percent).groupBy("a", "b").agg(F.min(F.struct("g", "i", "j")).alias("at")).select("at.*", "a", "b")
-        return materialise(pairs)
+        return materialise(_candidates(self.points(rows), self.percent).groupBy("a", "b").agg(F.min(F.xxhash64("g", "i", "j")).alias("g")))
 
 
 def _blocks(rows: DataFrame, members: Column, start: Column, against: Column) -> DataFrame:
@@ -533,43 +553,56 @@ def _blocks(rows: DataFrame, members: Column, start: Column, against: Column) ->
 
 
 def jaccard_join(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+    """Per row of (doc_id, text): doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+
+    Besides, a hash of the text and class_id, which tells components apart also where ids are null or repeat; null for empty sets.
+    """
     found = _Nodes(docs, percent, width)
     rows, full, reps = found.rows, found.full, found.reps
     if not found.total:
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("class_id"))
     comp = components(_links(found))
     labels = reps.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    labels = materialise(labels.join(least, "comp").select("node", "component_id"))
-    linked = full.join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    labels = materialise(labels.join(least, "comp").select("node", "component_id", F.col("comp").alias("class_id")))
+    linked = full.join(labels, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "class_id")
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("long").alias("class_id"))
     discard(found.nodes, reps, comp)
     return linked.unionByName(alone)
 
 
 def nearest_links(found: _Nodes, trees: DataFrame) -> DataFrame:
-    """Verified links of each node to the nearest of lower hash in the ASKED trees whose members share most shingles."""
+    """Verified links of each node to the nearest in the ASKED trees whose members share most shingles."""
     most = Window.partitionBy("node").orderBy(F.desc(F.col("weight") * F.log2("m")), "g")
     asked = trees.withColumn("k", F.row_number().over(most)).where(F.col("k") <= ASKED)
-    asked = asked.withColumn("i", F.pmod(F.xxhash64("node", "g"), F.ceil(F.col("m") / BLOCK)).cast("long"))
-    pairs = _nearest(found.points(asked), found.percent)
-    pairs = materialise(pairs.groupBy("b").agg(F.max(F.struct("excess", "a")).alias("top")).select(F.col("top.a").alias("a"), "b"))
-    # a node with many followers is verified in several tasks
-    some = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("k"))
-    pairs = pairs.join(some, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), "k").alias("i"), F.lit(0).cast("long").alias("j"), "a", "b")
-    return found.verified(materialise(pairs))
+    return found.nearest(asked.withColumn("comp", F.col("node")), 0)
+
+
+def _labelled(trees: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (g, m, node, n, comp) of the trees that hold several components under links."""
+    comp = components(links)
+    rows = trees.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("g", "m", "node", "n", "comp")
+    mixed = rows.groupBy("g").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("g")
+    out = materialise(rows.join(mixed, "g"))
+    discard(comp)
+    return out
 
 
 def _links(found: _Nodes) -> DataFrame:
     trees = found.trees()
     links = nearest_links(found, trees)
-    comp = components(links)
-    rows = trees.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("g", "node", "n", "comp")
-    rows = materialise(rows)
+    rows = _labelled(trees, links)
+    for turn in range(1, ROUNDS + 1):
+        large = rows.where(F.col("m") > SMALL)
+        new = found.nearest(large, turn) if large.take(1) else None
+        if new is None or not new.take(1):
+            break
+        links = links.unionByName(new)
+        old, rows = rows, _labelled(rows.select("g", "m", "node", "n"), links)
+        discard(old)
     sizes = rows.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
     trees_left = sizes.groupBy("g").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
-    left = rows.join(trees_left.select("g", "m", F.col("top.c").alias("large"), F.col("top.comp").alias("largest")), "g")
+    left = rows.drop("m").join(trees_left.select("g", "m", F.col("top.c").alias("large"), F.col("top.comp").alias("largest")), "g")
     # blocks of other members come first; members of a large largest component are beside those only
     small = F.greatest(F.ceil((F.col("m") - F.col("large")) / BLOCK), F.lit(1))
     split = F.col("m") > BLOCK

@@ -62,6 +62,7 @@ def near_copies():
 @pytest.mark.parametrize("block", [1024, 16])
 def test_jaccard_join_finds_every_component(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SMALL", 4)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs).collect()}
@@ -116,14 +117,34 @@ def test_tree_search_equals_scan():
         assert sorted(tree.search(points[k], sizes[k], comps[k], 75)) == wanted.tolist()
 
 
+        excess = np.where(comps != comps[k], bound - jaccard.overlap_needed(sizes[k], sizes, 75), -1)
+        best, where = tree.nearest(points[k], sizes[k], comps[k], 75)
+        assert best == max(excess.max(), -1) and (best < 0 or excess[where] == best)
     ranks = rng.permutation(300)
     tree = jaccard.RTree(points, sizes, ranks, together=False)
     for k in range(0, 300, 7):
         excess = np.where(ranks < ranks[k], np.minimum(points, points[k]).sum(1) - jaccard.overlap_needed(sizes[k], sizes, 75), -1)
-        best, where = tree.nearest(points[k], sizes[k], ranks[k], 75)
+        best, where = tree.nearest(points[k], sizes[k], ranks[k], 75, lower=True)
         assert best == max(excess.max(), -1) and (best < 0 or excess[where] == best)
 
 
+def test_shards_prune_filters_on_every_dimension(spark):
+    rng = random.Random(8)
+    rows = [(i, "x" * int(rng.paretovariate(0.7) * 20 % 5000), rng.choice(["de", "en", "fr", None]), f"s{rng.randrange(8)}", 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("clash")).withColumn("curve", F.lit(1))
+    got = hilbert.shard(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    for name, wanted in (("doc_id", lambda v: v < 200), ("size", lambda v: v > 3000), ("source", lambda v: v == "s3"), ("lang", lambda v: v == "de")):
+        spans = {}
+        for r in got:
+            if r[name] is not None:
+                low, high = spans.get(r["shard"], (r[name], r[name]))
+                spans[r["shard"]] = (min(low, r[name]), max(high, r[name]))
+        # a shard is read if a value within its range may be wanted
+        values = sorted({r[name] for r in got if r[name] is not None})
+        read = sum(any(low <= v <= high and wanted(v) for v in values) for low, high in spans.values())
+        assert read <= 16, (name, read)
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (5, 5)], "a long, b long")
     found = {r["node"]: r["comp"] for r in components(e).collect()}
@@ -206,7 +227,7 @@ def test_host_query_joins_every_labelled_page(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     bad = {d: q == 0 or t == 1 for d, q, t in labels}
     outcomes = [(i, bad[i % 90]) for i, _ in rows if i < 180 and i % 90 in bad]
-    want = hosts.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad boolean"), limit=0.3)
+    want = hosts.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad boolean"))
     plain = lambda df: sorted((r["page_id"], r["verdict"], None if r["bound"] is None else round(r["bound"], 9)) for r in df.collect())
     assert plain(op6_host_reputation(spark, str(tmp_path))) == plain(want)
 
@@ -219,6 +240,53 @@ def test_reputation_shrinks_towards_the_domain(spark):
     assert got["d.bad.com"] < 0.5
 
 
+def test_beta_quantile_and_domains(spark):
+    def density_sum(a, b, x, n=200_000):
+        t = (np.arange(n) + 0.5) / n
+        # substituting t = u ** k tames the poles at the ends
+        f = np.exp((a - 1) * np.log(t) + (b - 1) * np.log1p(-t))
+        return f[t <= x].sum() / f.sum()
+
+    pairs = [(1.0, 1.0), (2.0, 5.0), (3.5, 1.2), (40.0, 160.0), (500.0, 20.0), (1.3, 900.0)]
+    df = spark.createDataFrame(pairs, "a double, b double").withColumn("q", hosts.beta_quantile(F.col("a"), F.col("b"), 0.05)).withColumn("p", hosts.beta_probability(F.lit(0.3), F.col("a"), F.col("b")))
+    for r in df.collect():
+        assert density_sum(r["a"], r["b"], r["q"]) == pytest.approx(0.05, abs=0.002)
+        assert r["p"] == pytest.approx(density_sum(r["a"], r["b"], 0.3), abs=0.002)
+    names = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.example.com:8080": ("example.com", "com"), "me@h.org.": ("h.org", "org"), "10.0.0.1:80": ("10.0.0.1", "ip"), "": ("", ""), "local": ("local", "local")}
+    for r in spark.createDataFrame([(n,) for n in names], "h string").select("h", hosts.domain_of(F.col("h")).alias("d"), hosts.suffix_of(F.col("h")).alias("s")).collect():
+        assert (r["d"], r["s"]) == names[r["h"]]
+
+
+def test_repeated_pages_count_once(spark):
+    pages = spark.createDataFrame([(1, "http://a.x.com/1")] * 3 + [(2, "http://b.x.com/2"), (3, "http://b.x.com/3")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, True), (2, False), (3, False)], "page_id long, bad boolean")
+    bound = {r["host"]: r["bound"] for r in hosts.judge(pages, outcomes).collect()}
+    again = {r["host"]: r["bound"] for r in hosts.judge(pages.distinct(), outcomes).collect()}
+    assert bound == again
+
+
+def test_flow_is_of_least_cost():
+    rng = random.Random(3)
+    for _ in range(60):
+        capacity = [rng.randrange(1, 4) for _ in range(3)]
+        members = [sorted(rng.sample(range(2), rng.randrange(1, 3))) for _ in capacity]
+        quota = [rng.randrange(0, 5) for _ in range(2)]
+        flow = mixing.route(capacity, members, quota, 2)
+        cost = lambda used: sum(max(0, u - c) + u for u, c in zip(used, capacity))  # noqa: B023, E731  a second pass costs 2
+        best = (0, 0)
+        # every way to draw on the patterns: words of each (pattern, source)
+        ways = [(p, s) for p, m in enumerate(members) for s in m]
+        for amounts in itertools.product(*[range(min(2 * capacity[p], quota[s]) + 1) for p, s in ways]):
+            used, got = [0] * 3, [0] * 2
+            for (p, s), x in zip(ways, amounts):
+                used[p] += x
+                got[s] += x
+            if all(u <= 2 * c for u, c in zip(used, capacity)) and all(g <= q for g, q in zip(got, quota)):
+                best = min(best, (-sum(got), cost(used)))
+        mine = [sum(f.values()) for f in flow]
+        assert (-sum(mine), cost(mine)) == best
+
+
 def test_targets_and_flow():
     assert mixing.targets([100, 100, 100], [3, 1, 2], 1.5, 2) == [200, pytest.approx(250 / 3), pytest.approx(500 / 3)]
     assert mixing.targets([0, 10], [3, 1], 1.5, 2) == [0, 15]
