@@ -1,18 +1,22 @@
 """Sharding along a Hilbert curve, in DataFrame expressions only.
 
-Several metadata dimensions are quantised to BITS bits each, the point's index on
-the Hilbert curve gives the order, and the order is cut into runs of equal row
-counts (at most one apart). Rows near each other in all dimensions so share
-files, whose column ranges then prune filters on any of them.
+Several metadata dimensions are quantised to BITS bits each by their own
+quantiles, so every cell holds a like share of the rows: sizes and ids by
+approximate percentiles, languages and sources by their rows' cumulative share in
+code-point order. The point's index on the Hilbert curve gives the order, and the
+order is cut into runs of equal row counts (at most one apart). Rows near each
+other in all dimensions so share files, whose column ranges then prune filters on
+any of them.
 
 Ranks need no single task: rows of 4,096 stretches of the curve are counted, and
-within each stretch rows of each point and of 64 hash ranges at that point, at
-most 262,144 counts in a window. Rows are numbered only within one such range,
-so a point that holds a third of all rows is still dealt to 64 tasks.
-
-Null languages, sources and texts are points of their own (null texts have size
-8). Repeated rows take neighbouring places, which one is arbitrary among equals.
-An empty table gives none.
+within each stretch rows of each point and of hash ranges at that point. There
+are 64 of these, more where the table has over 64 * 4,194,304 rows, so a range
+has that many rows at most, however many a point holds. Rows are numbered only
+within one such range.
+
+Null languages and sources are labels of their own, null ids the first cell, null
+texts have size 8. Repeated rows take neighbouring places, which one is arbitrary
+among equals. Extra columns are ignored. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 BITS = 6
 DIMS = 4
 STRETCH = 12  # leading bits of the index
 RANGES = 64
+RANGE_ROWS = 1 << 22
 
 
 def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
@@ -67,23 +72,46 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     return F.element_at(staged, 1)
 
 
-def coordinates(size: Column) -> list[Column]:
-    """Language, source, size (quarter octaves) and age (by doc_id), each in 0..63."""
-    top = (1 << BITS) - 1
-    named = lambda c: F.coalesce(F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 2), 16, 10).cast("int").bitwiseAND(F.lit(top)), F.lit(0))
-    octave = F.least(F.floor(F.log2(size.cast("double")) * 4).cast("int") - 12, F.lit(top))
-    age = F.least(F.floor(F.log2(1 + F.abs(F.coalesce(F.col("doc_id"), F.lit(0))).cast("double")) * 2).cast("int"), F.lit(top))
-    return [named(F.col("lang")), named(F.col("source")), F.greatest(octave, F.lit(0)), age]
+def _label_cells(rows: DataFrame, name: str, total: int) -> DataFrame:
+    """(name, cell): labels in order, each at the share of rows before it."""
+    counts = rows.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.select(F.col(name).alias(f"_{name}"), F.floor(before * (1 << BITS) / total).cast("int").alias(f"_cell_{name}"))
+
+
+def _number_cell(c: Column, cuts: list) -> Column:
+    """How many cuts lie below c."""
+    return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cuts]), lambda x: x < c)) if cuts else F.lit(0)
+
+
+def located(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (doc_id, size, lang, source, ..) with column curve, and their number. rows are read several times."""
+    shares = [i / (1 << BITS) for i in range(1, 1 << BITS)]
+    found = rows.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col(c).cast("long"), shares).alias(c) for c in ("size", "doc_id")]).first()
+    total = found["n"]
+    size, age = (_number_cell(F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)).cast("long")), found[c]) for c in ("size", "doc_id"))
+    for name in ("lang", "source"):
+        cells = _label_cells(rows, name, max(total, 1))
+        rows = rows.join(cells, F.col(name).eqNullSafe(F.col(f"_{name}")), "left")
+    axes = [F.coalesce("_cell_lang", F.lit(0)), F.coalesce("_cell_source", F.lit(0)), size, age]
+    return rows.withColumn("curve", hilbert_index(axes)).drop("_lang", "_source", "_cell_lang", "_cell_source"), total
 
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard and the curve index."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), *["lang", "source"])
-    rows = rows.withColumn("curve", hilbert_index(coordinates(F.col("size")))).drop("lang", "source")
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    narrow = materialise(rows)
+    rows, count = located(narrow)
+    ranges = RANGES
+    while ranges * RANGE_ROWS < count:
+        ranges *= 2
+    rows = rows.drop("lang", "source")
     spread = F.xxhash64("doc_id", "text_crc32")
-    rows = rows.withColumn("_stretch", F.shiftright("curve", BITS * DIMS - STRETCH).cast("int")).withColumn("_range", (F.col("curve").bitwiseAND(F.lit((1 << (BITS * DIMS - STRETCH)) - 1)) * RANGES + F.pmod(spread, F.lit(RANGES))).cast("int"))
+    low = F.col("curve").bitwiseAND(F.lit((1 << (BITS * DIMS - STRETCH)) - 1))
+    rows = rows.withColumn("_stretch", F.shiftright("curve", BITS * DIMS - STRETCH).cast("int")).withColumn("_range", low * ranges + F.pmod(spread, F.lit(ranges)))
     rows = materialise(rows)
+    discard(narrow)
 
     fine = rows.groupBy("_stretch", "_range").agg(F.count(F.lit(1)).alias("_n"))
     coarse = fine.groupBy("_stretch").agg(F.sum("_n").alias("_all"))

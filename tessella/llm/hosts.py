@@ -5,15 +5,19 @@ beta-binomial priors: the whole table's rate is the prior of a suffix, the
 suffix's posterior the prior of a registered domain, the domain's that of a host.
 Each level's prior strength is estimated from the spread of its members' rates
 by the method of moments. A host is blocked if even the lower bound of its
-posterior is above a limit. Hosts without labels take their domain's posterior.
+posterior, a quantile of the beta distribution, is above a limit, by default the
+whole table's rate of bad outcomes. Hosts without labels take the posterior of
+their domain, else of their suffix. Suffixes are public ones: the last label, or
+the last two where SECOND_LEVEL has them. An IPv4 host is its own domain under
+the suffix "ip"; user names and ports don't count for grouping.
 
 DataFrame expressions only. Labels and hosts are aggregated before any join; the
 join of all pages to host verdicts is an ordinary one, which Spark broadcasts
 only below its size limit and splits where a host is hot.
 
 A null url, or one without "://", has empty host and path; no rule fits it and it
-is judged like a host without labels. Repeated rows are judged alike, repeated
-labels of a page each count. An empty table gives none; without labels the
+is judged like a host without labels. Repeated rows are judged alike and count
+once; each outcome of a page counts, once for each host that the page's rows have. An empty table gives none; without labels the
 method allows all.
 """
 
@@ -51,12 +55,79 @@ def listed(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+# Public suffixes of two labels.
+SECOND_LEVEL = (
+    "ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk sch.uk asn.au com.au edu.au gov.au id.au net.au org.au ac.nz co.nz govt.nz net.nz org.nz school.nz "
+    "ac.jp ad.jp co.jp ed.jp go.jp gr.jp lg.jp ne.jp or.jp ac.kr co.kr go.kr ne.kr or.kr pe.kr re.kr ac.in co.in edu.in firm.in gen.in gov.in ind.in net.in org.in res.in "
+    "ac.za co.za gov.za net.za org.za web.za ac.il co.il gov.il net.il org.il com.br edu.br gov.br net.br org.br com.ar edu.ar gob.ar net.ar org.ar com.mx edu.mx gob.mx net.mx org.mx "
+    "com.co edu.co gov.co com.pe edu.pe gob.pe com.ve com.cn edu.cn gov.cn net.cn org.cn com.hk edu.hk gov.hk com.tw edu.tw gov.tw com.sg edu.sg gov.sg com.my edu.my gov.my "
+    "co.id ac.id go.id or.id co.th ac.th go.th or.th com.vn edu.vn gov.vn com.ph edu.ph gov.ph com.tr edu.tr gov.tr org.tr com.ua gov.ua com.pl edu.pl gov.pl net.pl org.pl "
+    "com.ru co.at or.at ac.at gv.at com.gr edu.gr gov.gr com.pt edu.pt gov.pt com.es nom.es org.es com.eg edu.eg gov.eg com.ng edu.ng gov.ng co.ke ac.ke go.ke com.sa edu.sa gov.sa com.pk edu.pk gov.pk"
+).split()
+
+
+def bare(host: Column) -> Column:
+    """host without user name, port and a closing dot."""
+    return F.regexp_replace(F.regexp_replace(F.substring_index(host, "@", -1), r":[0-9]*\z", ""), r"\.\z", "")
+
+
+def _address(name: Column) -> Column:
+    return name.rlike(r"\A[0-9]{1,3}(\.[0-9]{1,3}){3}\z")
+
+
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    name = bare(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_address(name), "ip").when(two.isin(SECOND_LEVEL), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """The registered domain: one label more than the suffix."""
+    name = bare(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_address(name), name).when(two.isin(SECOND_LEVEL), F.substring_index(name, ".", -3)).otherwise(two)
+
+
+def _log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0, by Stirling's series at x + 8."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0)))
+    return series - sum((F.log(x + i) for i in range(1, 8)), F.log(x))
+
+
+def beta_probability(x: Column, a: Column, b: Column, terms: int = 200) -> Column:
+    """P(X <= x) of the beta distribution, 0 < x < 1, by its continued fraction (Lentz's method)."""
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, z = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.when(swap, 1 - x).otherwise(x)
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + p * F.log(z) + q * F.log(1 - z)) / p
+    held = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def step(s: Column, d: Column) -> Column:
+        c, e = held(1 + d / s["c"]), 1 / held(1 + d * s["e"])
+        return F.struct(c.alias("c"), e.alias("e"), (s["f"] * c * e).alias("f"))
+
+    def term(s: Column, m: Column) -> Column:
+        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        return step(step(s, even), odd)
+
+    e = 1 / held(1 - (p + q) * z / (p + 1))
+    first = F.struct(F.lit(1.0).alias("c"), e.alias("e"), e.alias("f"))
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda m: m.cast("double"))
+    value = front * F.aggregate(numbers, first, term, lambda s: s["f"])
+    return F.when(swap, 1 - value).otherwise(value)
+
+
+def beta_quantile(a: Column, b: Column, level: float, steps: int = 40) -> Column:
+    """The value that the beta distribution stays below with probability level, by bisection."""
+    ends = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        below = beta_probability(mid, a, b) < level
+        return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, halve, lambda s: (s["lo"] + s["hi"]) / 2)
 
 
 def shrunk(counts: DataFrame, level: str, above: list[str], prior: Column) -> DataFrame:
@@ -75,10 +146,12 @@ def shrunk(counts: DataFrame, level: str, above: list[str], prior: Column) -> Da
     return joint.join(spread.select(*above, k), above).withColumn("a", F.col("bad") + F.col("_k") * F.col("_prior")).withColumn("b", F.col("n") - F.col("bad") + F.col("_k") * (1 - F.col("_prior"))).drop("_k", "_prior")
 
 
-def reputation(outcomes: DataFrame, z: float = 2.0) -> DataFrame:
-    """Per labelled host, domain and suffix: level, name, and the lower bound of the posterior share of bad pages.
+def reputation(outcomes: DataFrame, level: float = 0.05) -> DataFrame:
+    """Per labelled host, domain and suffix: level, name, a, b, the lower bound of the posterior share of bad pages, and the base rate.
 
-    outcomes: (host, bad) with bad true, false or null (not labelled).
+    outcomes: (host, bad) with bad true, false or null (not labelled). Each
+    posterior is a beta distribution of a and b; it lies below the bound with
+    probability `level`. base is the rate of all outcomes.
     """
     hosts = outcomes.where("bad IS NOT NULL").groupBy("host").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count(F.lit(1)).alias("n"))
     hosts = materialise(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
@@ -93,35 +166,34 @@ def reputation(outcomes: DataFrame, z: float = 2.0) -> DataFrame:
     d = shrunk(domains.join(s.select("suffix", mean.alias("_up")), "suffix"), "domain", ["suffix"], F.col("_up"))
     d = materialise(d.select("suffix", "domain", "a", "b"))
     h = shrunk(hosts.join(d.select("domain", mean.alias("_up")), "domain"), "host", ["domain"], F.col("_up"))
-    total = F.col("a") + F.col("b")
-    bound = mean - z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
-    return materialise(
-        h.select(F.lit("host").alias("level"), F.col("host").alias("name"), bound.alias("bound"))
-        .unionByName(d.select(F.lit("domain").alias("level"), F.col("domain").alias("name"), bound.alias("bound")))
-        .unionByName(s.select(F.lit("suffix").alias("level"), F.col("suffix").alias("name"), bound.alias("bound")))
-    )
+    named = lambda df, kind: df.select(F.lit(kind).alias("level"), F.col(kind).alias("name"), "a", "b")
+    all_levels = named(h, "host").unionByName(named(d, "domain")).unionByName(named(s, "suffix"))
+    all_levels = all_levels.withColumn("top", F.lit(1)).join(whole.select("top", rate.alias("base")), "top").drop("top")
+    return materialise(all_levels.withColumn("bound", beta_quantile(F.col("a"), F.col("b"), level)))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, limit: float = 0.5, z: float = 2.0, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, limit: float | None = None, level: float = 0.05, rules=RULES) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict and the posterior bound that the method judged by.
 
-    outcomes: (page_id, bad) of some pages.
+    outcomes: (page_id, bad) of some pages. limit: the bound above which a host
+    is blocked; None takes the rate of all outcomes, so hosts are blocked that
+    are worse than the whole with probability 1 - level.
     """
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path).drop("url")
-    bounds = reputation(outcomes.select("page_id", "bad").join(rows.select("page_id", "host"), "page_id").select("host", "bad"), z)
+    shown = rows.select("page_id", "host").distinct()
+    bounds = reputation(outcomes.select("page_id", "bad").join(shown, "page_id").select("host", "bad"), level)
     hosts = rows.select("host").distinct()
-    of = lambda level: bounds.where(F.col("level") == level)
+    most = F.col("base") if limit is None else F.lit(limit)
+    of = lambda kind, to: bounds.where(F.col("level") == kind).select(F.col("name").alias(kind), F.struct("bound", (F.col("bound") > most).alias("bad")).alias(to))
     best = (
         hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-        .join(of("host").select(F.col("name").alias("host"), F.col("bound").alias("_h")), "host", "left")
-        .join(of("domain").select(F.col("name").alias("domain"), F.col("bound").alias("_d")), "domain", "left")
-        .join(of("suffix").select(F.col("name").alias("suffix"), F.col("bound").alias("_s")), "suffix", "left")
-        .select("host", F.coalesce("_h", "_d", "_s").alias("bound"))
+        .join(of("host", "_h"), "host", "left").join(of("domain", "_d"), "domain", "left").join(of("suffix", "_s"), "suffix", "left")
+        .select("host", F.coalesce("_h", "_d", "_s").alias("_judged"))
     )
-    verdicts = materialise(best)
+    verdicts = materialise(best.select("host", "_judged.bound", "_judged.bad"))
     rule = listed(F.col("host"), F.col("path"), rules)
     said = F.create_map(*[F.lit(x) for r in rules for x in r])
-    method = F.when(F.col("bound") > limit, "block").otherwise("allow")
+    method = F.when(F.col("bad"), "block").otherwise("allow")
     out = rows.join(verdicts, "host", "left").withColumn("rule", rule)
     return out.select("page_id", "host", "path", "rule", F.coalesce(F.try_element_at(said, F.col("rule")), method).alias("verdict"), "bound")

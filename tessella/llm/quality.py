@@ -2,11 +2,12 @@
 
 Each text gives a vector of transformed statistics. For every language and
 source a mean and covariance are estimated from the three quarters of its rows
-that lie closest together: from medians and median deviations, a few
-concentration steps keep the rows of least Mahalanobis distance and re-estimate.
-Every step is an aggregation over all rows; sums are of scaled integers, so they
-are exact and reruns agree. Rows whose distance exceeds a chi-square quantile
-are rejected.
+that lie closest together. Concentration steps keep the rows of least Mahalanobis
+distance and re-estimate, from two starts (medians with median deviations; plain
+mean and covariance), until no group's rows change or `most` steps are done; each
+group takes the start whose covariance has the smaller determinant. Every step is
+an aggregation over all rows; sums are of scaled integers, so they are exact and
+reruns agree. Rows whose distance exceeds a chi-square quantile are rejected.
 
 Nulls: a null text has no words and fails the base rule; null languages and
 sources are groups of their own. Small groups are drawn towards the estimate of
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, group_key, map_columns, materialise
+from .common import SPACES, discard, group_key, map_columns, materialise
 
 SCALE = 1000
 #: Least standard deviation that each statistic is granted, in its own unit.
@@ -122,7 +123,7 @@ def chi2_quantile(p: float, q: float) -> float:
     return (low + high) / 2
 
 
-def robust_distances(stats: DataFrame, dims: int, floors: list[float], share: float = 0.75, steps: int = 3, weight: int = 50) -> DataFrame:
+def robust_distances(stats: DataFrame, dims: int, floors: list[float], share: float = 0.75, most: int = 8, weight: int = 50) -> DataFrame:
     """stats with column d2, the squared Mahalanobis distance to the robust estimate of its group g.
 
     weight: rows that the estimate of the whole table counts as in each group's.
@@ -155,48 +156,66 @@ def robust_distances(stats: DataFrame, dims: int, floors: list[float], share: fl
             out["m"].append([(n * rows[f"m{i}"][k] + weight * centre[i]) / (n + weight) for i in range(dims)])
             var = [max((n * (1.4826 * rows[f"s{i}"][k]) ** 2 + weight * scale[i]) / (n + weight), fixed[i]) for i in range(dims)]
             out["p"].append([1 / var[i] if i == j else 0.0 for i, j in pairs])
-        return out
+        return out | {"det": [None] * len(out["g"])}
 
-    form = "g string, m array<double>, p array<double>"
-    params = materialise(map_columns(own.join(off, "g"), start, form))
+    form = "g string, m array<double>, p array<double>, det double"
+    medians_start = materialise(map_columns(own.join(off, "g"), start, form))
 
-    def measured() -> DataFrame:
+    def measured(params: DataFrame) -> DataFrame:
         apart = [F.col(x) - F.col("m")[i] for i, x in enumerate(xs)]
         d2 = sum((F.col("p")[k] * apart[i] * apart[j] * (1 if i == j else 2) for k, (i, j) in enumerate(pairs)), F.lit(0.0))
-        return stats.join(params, "g").withColumn("d2", d2)
+        return stats.join(params.drop("det"), "g").withColumn("d2", d2)
 
-    def refit(rows: dict) -> dict:
-        out = {"g": rows["g"], "m": [], "p": []}
+    def refit(rows: dict, trimmed: bool = True) -> dict:
+        out = {"g": rows["g"], "m": [], "p": [], "det": []}
         for k in range(len(rows["g"])):
             n = rows["n"][k]
             mean = np.array([rows[f"a{i}"][k] / n for i in range(dims)])
             cov = np.zeros((dims, dims))
             for i, j in pairs:
                 cov[i, j] = cov[j, i] = rows[f"c{i}_{j}"][k] / n - mean[i] * mean[j]
-            cov = consistency * cov
+            cov = (consistency if trimmed else 1.0) * cov
             apart = mean - np.array(centre)
             cov = (n * cov + weight * np.diag(scale)) / (n + weight) + np.outer(apart, apart) * (n * weight / (n + weight) ** 2)
             mean = (n * mean + weight * np.array(centre)) / (n + weight)
             cov += np.diag(fixed)
             inverse = np.linalg.inv(cov)
+            out["det"].append(float(np.linalg.slogdet(cov)[1]))
             out["m"].append(mean.tolist())
             out["p"].append([float(inverse[i, j]) for i, j in pairs])
         return out
 
-    for _ in range(steps):
-        # Distances in hundredths, at most 10,000 values a group, so the exact quantile's state stays small.
-        q = F.least(F.floor(100 * F.sqrt(F.greatest(F.col("d2"), F.lit(0.0)))), F.lit(10_000)).cast("long")
-        rows = measured().withColumn("q", q)
-        limit = materialise(rows.groupBy("g").agg(F.percentile("q", share).alias("limit")))
-        sums = [F.sum(x).alias(f"a{i}") for i, x in enumerate(xs)] + [F.sum((F.col(xs[i]) * F.col(xs[j])).cast("decimal(20,0)")).alias(f"c{i}_{j}") for i, j in pairs]
-        kept = rows.join(limit, "g").where(F.col("q") <= F.col("limit")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), *sums)
-        plain = [F.col(c).cast("double") if c[0] in "ac" else F.col(c) for c in kept.columns]
-        params = materialise(map_columns(kept.select(*[p.alias(c) for p, c in zip(plain, kept.columns)]), refit, form))
-    return measured().drop("m", "p")
+    sums = [F.sum(x).alias(f"a{i}") for i, x in enumerate(xs)] + [F.sum((F.col(xs[i]) * F.col(xs[j])).cast("decimal(20,0)")).alias(f"c{i}_{j}") for i, j in pairs]
+
+    def moments(rows: DataFrame) -> DataFrame:
+        kept = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *sums)
+        return kept.select(*[F.col(c).cast("double").alias(c) if c[0] in "ac" else F.col(c) for c in kept.columns])
+
+    def concentrated(params: DataFrame) -> DataFrame:
+        before = None
+        for _ in range(most):
+            # Distances in thousandths of their logarithm, so few values that the exact quantile's state stays small.
+            q = F.floor(1000 * F.log1p(F.greatest(F.col("d2"), F.lit(0.0)))).cast("long")
+            rows = measured(params).withColumn("q", q)
+            limit = materialise(rows.groupBy("g").agg(F.percentile("q", share).alias("limit")))
+            kept = materialise(moments(rows.join(limit, "g").where(F.col("q") <= F.col("limit"))))
+            new = materialise(map_columns(kept, refit, form))
+            now = kept.agg(F.bit_xor(F.xxhash64(*kept.columns))).first()[0]
+            discard(params, limit, kept)
+            params = new
+            if now == before:
+                break
+            before = now
+        return params
+
+    plain_start = materialise(map_columns(moments(stats), lambda rows: refit(rows, False), form))
+    both = concentrated(medians_start).withColumn("start", F.lit(0)).unionByName(concentrated(plain_start).withColumn("start", F.lit(1)))
+    best = both.groupBy("g").agg(F.min(F.struct("det", "start", "m", "p")).alias("b")).select("g", "b.m", "b.p", "b.det")
+    return measured(materialise(best)).drop("m", "p")
 
 
 def quality_rules(docs: DataFrame, rejected: float = 1e-6, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
-    """Per row: doc_id, base counts, base_failed, kept and the squared distance d2.
+    """Per row: doc_id, base counts, base_failed, kept, the squared distance, and hashes of text and group, by which rows are found again.
 
     rejected: the share of a normal group's rows that the distance limit would
     reject. Rows that fail the base rule take no part in the estimates.
@@ -208,4 +227,4 @@ def quality_rules(docs: DataFrame, rejected: float = 1e-6, min_words: int = 10,
     passed = robust_distances(stats.where(~F.col("base_failed")), len(NAMES), list(FLOORS.values()))
     out = passed.unionByName(stats.where("base_failed"), allowMissingColumns=True)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("d2", 3).alias("distance2"), "text_hash")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("d2", 3).alias("distance2"), "text_hash", F.xxhash64("g").alias("stratum"))

@@ -46,9 +46,9 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     # the last number of a page's path is the document that it shows; slashes may follow
-    shown = pages.select("page_id", F.regexp_extract(split_url(F.col("url"))[1], r"/([0-9]{1,18})[^/0-9]*/*\z", 1).try_cast("long").alias("doc_id"))
+    shown = pages.select("page_id", F.regexp_extract(split_url(F.col("url"))[1], r"/([0-9]{1,18})[^/0-9]*/*\z", 1).try_cast("long").alias("doc_id")).distinct()
     outcomes = shown.join(labels, "doc_id").select("page_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return judge(pages, outcomes, limit=0.3)
+    return judge(pages, outcomes)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
