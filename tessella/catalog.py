@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,16 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return session.sql(text)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name that all machines share, below spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="tessella-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 #: (relation, source label, source key, target label, target key, table, distinct)
 _EDGES = (
     ("PLACED_BY", "order", "o_orderkey", "customer", "o_custkey", "orders", False),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog import edges, nodes, table
+from ..catalog import edges, nodes, scratch, table
 from ..functions import series as S
 from ..operators import finance, graph, patterns, retrieval, rules, spatial, statistics, timeseries, uncertainty
 
@@ -680,13 +680,9 @@ def zset_view(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10")
 def lake_as_of(spark, sf_dir):
-    import tempfile
-    import uuid
-
     from ..sources.lake import Table
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-lake-")
-    t = Table(spark, f"{base}/lake-{uuid.uuid4().hex}")
+    t = Table(spark, scratch(spark))
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     first = t.write(n.where("n_nationkey < 10"))
     t.write(n.where("n_nationkey >= 10"))
@@ -696,13 +692,9 @@ def lake_as_of(spark, sf_dir):
 
 @query("SELECT max(n_nationkey) AS hi, min(n_nationkey) AS lo, count(*) AS n FROM nation")
 def lake_zone_map(spark, sf_dir):
-    import tempfile
-    import uuid
-
     from ..sources.lake import Table
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-lake-")
-    t = Table(spark, f"{base}/lake-{uuid.uuid4().hex}")
+    t = Table(spark, scratch(spark))
     t.write(table(spark, sf_dir, "nation"))
     z = t.zone_map(["n_nationkey"])
     return z.agg(F.max("max_n_nationkey").alias("hi"), F.min("min_n_nationkey").alias("lo"), F.sum("rows").alias("n"))
