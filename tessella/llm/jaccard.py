@@ -17,8 +17,7 @@ without another of fitting size are left out. Equal sets are one node.
 1. Nearest rounds. Each node asks the R-trees it shares most with for its nearest
    neighbour, and for the nearest of lower hash; verified, these pairs span most
    groups of near copies. Trees of over SMALL nodes that still hold several
-   components are asked again for each node's nearest in another component, until
-   that finds no link, at most ROUNDS times.
+   components are asked ROUNDS times more for each node's nearest in another one.
 2. Trees whose nodes still lie in several components are searched for all pairs
    of different components that the bound allows. Groups of over BLOCK nodes are
    searched in blocks; members of a tree's largest component are data only, never
@@ -55,9 +54,9 @@ SKETCH = 1 << 20  # slots of the frequency sketch; its classes, one byte each, g
 PARTS = 256
 BLOCK = 1024
 LEAF = 16
-ASKED = 3  # trees that a node asks for its nearest neighbour at first
-SMALL = 64
-ROUNDS = 3
+ASKED = 2  # trees that a node asks for its nearest neighbour at first
+SMALL = 64  # points that are compared as one leaf, without a tree above
+ROUNDS = 1
 PAIRS = 2048
 BITS = 1 << 26  # of the filter of wanted documents
 
@@ -366,7 +365,7 @@ def _close(points, n, comp, left, right, percent) -> Iterator[tuple[int, int]]:
     """Pairs of left and right rows of different components whose bound reaches the overlap needed."""
     if not len(left) or not len(right):
         return
-    if len(left) * len(right) <= LEAF * LEAF:  # a tree of one leaf
+    if len(left) * len(right) <= SMALL * SMALL:  # one leaf
         a, b = (np.stack([points[int(k)] for k in some]) for some in (left, right))
         bound = np.minimum(a[:, None], b[None]).sum(2)
         need = overlap_needed(n[left][:, None], n[right][None], percent)
@@ -409,6 +408,16 @@ def _nearest(rows: DataFrame, percent: int, lower: bool) -> DataFrame:
                 if len(both) == 1:
                     continue
                 at = np.stack([points[int(k)] for k in both])
+                if len(both) <= SMALL:  # one leaf
+                    over = np.minimum(at[:, None], at[None]).sum(2) - overlap_needed(n[both][:, None], n[both][None], percent)
+                    for turn, (mark, low) in enumerate(marks):
+                        m = mark[both]
+                        fits = np.where(m[None] < m[:, None] if low else m[None] != m[:, None], over, -1)
+                        y = fits.argmax(1)
+                        most = fits[np.arange(len(both)), y]
+                        won = most > best[turn][both]
+                        best[turn][both[won]], lead[turn][both[won]] = most[won], both[y[won]]
+                    continue
                 for turn, (mark, low) in enumerate(marks):
                     tree = RTree(at, n[both], mark[both], together=not low)
                     for k, x in enumerate(both):
@@ -522,8 +531,9 @@ class _Nodes:
 
     def verified(self, pairs: DataFrame, joining: bool = True) -> DataFrame:
         """Links among pairs (g, a, b), of which those of one g are verified together, in several parts where they are many."""
-        some = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("k"))
-        parts = pairs.join(some, "g").select("g", F.pmod(F.xxhash64("a", "b"), "k").alias("i"), F.lit(0).cast("long").alias("j"), "a", "b")
+        # only groups of over PAIRS pairs are listed, so the list is short and the pairs stay where they are
+        some = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("k")).where("k > 1")
+        parts = pairs.join(some, "g", "left").select("g", F.pmod(F.xxhash64("a", "b"), F.coalesce("k", F.lit(1))).alias("i"), F.lit(0).cast("long").alias("j"), "a", "b")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = _sets(self.docs, self.reps, ends, self.width)
         out = _verified(parts, sets, self.percent, joining)
@@ -595,7 +605,7 @@ def _links(found: _Nodes) -> DataFrame:
     for turn in range(1, ROUNDS + 1):
         large = rows.where(F.col("m") > SMALL)
         new = found.nearest(large, turn) if large.take(1) else None
-        if new is None or not new.take(1):
+        if new is None:
             break
         links = links.unionByName(new)
         old, rows = rows, _labelled(rows.select("g", "m", "node", "n"), links)
