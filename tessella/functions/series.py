@@ -6,6 +6,8 @@ Deviations are of the population; a z-score is 0 where the deviation is below 1e
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -69,14 +71,15 @@ class Series:
     def wsum(self, x: Column, y: Column, w: int) -> Column:
         return self._full(F.sum(x * y).over(self.last(w)), w)
 
-    def ewma(self, x: Column, span: float, reach: int = 512) -> Column:
-        """y0 = x0, then alpha = 2 / (span + 1). Folded over the last `reach` values, whose rest weighs (1 - alpha) ** reach."""
-        return self._smoothed(x, 2 / (span + 1), reach)
+    def ewma(self, x: Column, span: float) -> Column:
+        """y0 = x0, then alpha = 2 / (span + 1), exact to the last bits of a double: values that weigh less than 1e-17 of the whole are left out."""
+        return self._smoothed(x, 2 / (span + 1))
 
-    def ewma_halflife(self, x: Column, h: float, reach: int = 512) -> Column:
-        return self._smoothed(x, 1 - 2 ** (-1 / h), reach)
+    def ewma_halflife(self, x: Column, h: float) -> Column:
+        return self._smoothed(x, 1 - 2 ** (-1 / h))
 
-    def _smoothed(self, x: Column, alpha: float, reach: int) -> Column:
+    def _smoothed(self, x: Column, alpha: float) -> Column:
+        reach = 2 if alpha >= 1 else math.ceil(math.log(1e-17) / math.log1p(-alpha)) + 1
         held = F.collect_list(x).over(self.last(reach))
         return F.aggregate(F.slice(held, 2, reach), F.element_at(held, 1), lambda y, v: F.lit(alpha) * v + F.lit(1 - alpha) * y)
 

@@ -1,26 +1,22 @@
 """Graph operators on edge tables (src, dst): traversal, components, ranks, triangles, similarity, propagation.
 
 Loops run on the driver, their steps are joins and aggregations; each step's
-table is checkpointed, so plans stay short and lost executors cost one step.
+table is written as Parquet, so plans stay short and lost executors cost one step.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..catalog import scratch
+
 
 def held(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that spark.checkpoint.dir names; a local session without one gets its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint()
+    """df written as Parquet to a folder that all machines share, and read back: lineage ends, column pruning and sizes stay known."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, least: int = 1, most: int = 1) -> DataFrame:
@@ -157,18 +153,19 @@ def noisy_or(edges: DataFrame, seeds: DataFrame, hops: int = 8) -> DataFrame:
     return p
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
-    """(id, distance) over edges (src, dst, w), w >= 0: relaxation from seeds (id) until nothing improves."""
+def shortest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, distance) over edges (src, dst, w): relaxation from seeds (id) until nothing improves. A weight below 0 is an error."""
+    if edges.where("w < 0").take(1):
+        raise ValueError("a weight below 0")
     best = held(seeds.select("id", F.lit(0.0).alias("distance")))
     front = best
-    for _ in range(most):
+    while True:
         step = front.join(edges, front["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("new"))
         better = held(step.join(best, "id", "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance"))).select("id", F.col("new").alias("distance")))
         if not better.take(1):
-            break
+            return best
         best = held(best.join(better.select("id"), "id", "left_anti").unionByName(better))
         front = better
-    return best
 
 
 def neighbour_mean(edges: DataFrame, features: DataFrame, alpha: float = 0.5) -> DataFrame:

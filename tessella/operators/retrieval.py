@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import held
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -33,8 +37,11 @@ def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine"
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(query, vec_id, score) by cosine, exact: blocks of queries against all rows, each task keeps its k best, then a merge.
 
-    Queries travel in blocks of `block` rows, so no task holds more than one.
+    Queries travel in blocks of `block` rows, so no task holds more than one. The
+    work is queries times rows, as exactness asks. Null and zero vectors take no part on either side.
     """
+    some = lambda df: df.where(F.col("embedding").isNotNull() & (dot(F.col("embedding"), F.col("embedding")) > 0))
+    vectors, queries = some(vectors), some(queries)
     n = queries.count()
     blocks = max(1, -(-n // block))
     q = queries.select("query", F.col("embedding").alias("qv"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("b"))
@@ -57,16 +64,19 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096)
     return some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
 def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score) of documents with a query term; lower-cased words, no stemming."""
+    """(doc_id, score) of documents with a query term; lower-cased words, no stemming.
+
+    Texts are split once: lengths and term counts are written as a narrow table,
+    from which statistics and scores follow.
+    """
     terms = sorted({t.lower() for t in query})
-    words = tokens(F.col("text"))
-    found = lambda t: F.size(F.filter(words, lambda w: w == F.lit(t)))
-    counted = docs.select("doc_id", F.size(words).alias("len"), *[found(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+    # split leaves an empty piece where the text begins or ends with a separator
+    blank = lambda c: F.coalesce((c == "").cast("int"), F.lit(0))
+    length = F.size("w") - blank(F.element_at("w", 1)) - F.when(F.size("w") > 1, blank(F.element_at("w", -1))).otherwise(0)
+    found = [(F.size("w") - F.size(F.array_remove("w", F.lit(t)))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = held(docs.where("text IS NOT NULL").select("doc_id", words.alias("w")).select("doc_id", length.alias("len"), *found))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     score = F.lit(0.0)
@@ -78,6 +88,19 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) ->
     return counted.select("doc_id", score.alias("score")).where("score > 0")
 
 
+def snippets(docs: DataFrame, query: list[str], around: int = 40) -> DataFrame:
+    """(doc_id, snippet): the text around the first query term as a whole word, the term in angle brackets; documents without one are left out."""
+    terms = "|".join(sorted((re.escape(t) for t in query), key=len, reverse=True))
+    pattern = rf"(?is)(?<![\p{{L}}\p{{N}}])({terms})(?![\p{{L}}\p{{N}}])"
+    at = F.regexp_instr("text", F.lit(pattern))
+    word = F.regexp_extract("text", pattern, 1)
+    rows = docs.where(F.col("text").rlike(pattern)).select("doc_id", "text", at.alias("at"), word.alias("word"))
+    low = F.greatest(F.col("at") - around, F.lit(1))
+    before = F.substring(F.col("text"), low, F.col("at") - low)
+    after = F.substring(F.col("text"), F.col("at") + F.length("word"), F.lit(around))
+    return rows.select("doc_id", F.concat(before, F.lit("<"), "word", F.lit(">"), after).alias("snippet"))
+
+
 def rrf(lists: list[DataFrame], k: float = 60) -> DataFrame:
     """(id, score): sum of 1 / (k + rank) over lists (id, rank), ranks from 0."""
     found = lists[0].select("id", "rank")
@@ -86,23 +109,24 @@ def rrf(lists: list[DataFrame], k: float = 60) -> DataFrame:
     return found.groupBy("id").agg(F.sum(1 / (F.lit(float(k)) + F.col("rank"))).alias("score"))
 
 
-def mmr(candidates: DataFrame, lam: float, k: int, pool: int = 1000) -> DataFrame:
-    """(vec_id, pick) of a greedy maximal-marginal-relevance choice among the `pool` best candidates (vec_id, embedding, score)."""
-    top = candidates.orderBy(F.desc("score"), "vec_id").limit(pool)
+def mmr(candidates: DataFrame, lam: float, k: int) -> DataFrame:
+    """(vec_id, pick) of a greedy maximal-marginal-relevance choice among all candidates (vec_id, embedding, score).
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "vec_id"], ascending=[False, True])
-        v = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        score, near, picked = pdf["score"].to_numpy(), np.full(len(pdf), 0.0), []
-        for _ in range(min(k, len(pdf))):
-            value = lam * score - (1 - lam) * near
-            value[picked] = -np.inf
-            picked.append(int(value.argmax()))
-            near = np.maximum(near, v @ v[picked[-1]]) if len(picked) > 1 else v @ v[picked[-1]]
-        return pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[picked], "pick": np.arange(len(picked))})
-
-    return top.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(choose, "vec_id long, pick long")
+    Each pick is one pass over all rows that keeps a single best one; ties go to
+    the smaller id. Rows without score or of a zero vector take no part.
+    """
+    v, picked = F.col("embedding"), []
+    rows = candidates.where("score IS NOT NULL")
+    for _ in range(k):
+        near = [cosine(v, F.array(*[F.lit(float(x)) for x in p["embedding"]])) for p in picked]
+        apart = F.lit(0.0) if not near else near[0] if len(near) == 1 else F.greatest(*near)
+        value = lam * F.col("score") - (1 - lam) * apart
+        left = rows.where(~F.col("vec_id").isin([p["vec_id"] for p in picked])) if picked else rows
+        best = left.where(value.isNotNull()).agg(F.max_by(F.struct("vec_id", "embedding"), F.struct(value.alias("v"), (-F.col("vec_id")).alias("i"))).alias("b")).first()["b"]
+        if best is None:
+            break
+        picked.append(best)
+    return candidates.sparkSession.createDataFrame([(int(p["vec_id"]), i) for i, p in enumerate(picked)], "vec_id long, pick long")
 
 
 def retrieval_quality(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

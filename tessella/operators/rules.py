@@ -47,11 +47,12 @@ def class_members(types: DataFrame, subclass: DataFrame, name: str) -> DataFrame
     return types.join(wanted, "class").select("id").distinct()
 
 
-def chain(facts: DataFrame, body: list[str], head: str, confidence: float = 1.0, most: int = 16) -> DataFrame:
+def chain(facts: DataFrame, body: list[str], head: str, confidence: float = 1.0, most: int = 1000) -> DataFrame:
     """Forward chaining of body[0](x, y), body[1](y, z) -> head(x, z) to a fixpoint.
 
     facts (s, p, o, conf); a derivation's confidence is the rule's times its
-    premises', a fact's the largest over derivations.
+    premises', a fact's the largest over derivations. Raises if it hasn't settled
+    after `most` rounds, as with a confidence above 1 on a cycle.
     """
     known = held(facts)
     for _ in range(most):
@@ -61,7 +62,7 @@ def chain(facts: DataFrame, body: list[str], head: str, confidence: float = 1.0,
         if not best.join(known, ["s", "p", "o", "conf"], "left_anti").take(1):
             return best
         known = best
-    return known
+    raise ValueError("chaining didn't settle")
 
 
 def violations(rows: DataFrame, key: str, least: dict[str, int] | None = None, patterns: dict[str, str] | None = None, allowed: dict[str, list] | None = None, ranges: dict[str, tuple] | None = None) -> DataFrame:

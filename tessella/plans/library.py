@@ -341,6 +341,14 @@ def rrf_fusion(spark, sf_dir):
     return _rounded(retrieval.rrf([a, b]), 9)
 
 
+@query(
+    r"""SELECT doc_id, text[greatest(p - 40, 1):p - 1] || '<' || w || '>' || text[p + len(w):p + len(w) + 39] AS snippet FROM (SELECT doc_id, text, regexp_extract(text, '(?is)^(.*?)(?:^|[^\p{L}\p{N}])(license)(?:$|[^\p{L}\p{N}])', 2) AS w,
+    len(regexp_extract(text, '(?is)^(.*?(?:^|[^\p{L}\p{N}]))(license)(?:$|[^\p{L}\p{N}])', 1)) + 1 AS p FROM documents) WHERE w <> ''"""
+)
+def text_snippets(spark, sf_dir):
+    return retrieval.snippets(table(spark, sf_dir, "documents"), ["license"])
+
+
 @query()
 def rerank_mmr(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
