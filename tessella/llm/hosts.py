@@ -23,6 +23,8 @@ method allows all.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,39 +97,49 @@ def _log_gamma(x: Column) -> Column:
     return series - sum((F.log(x + i) for i in range(1, 8)), F.log(x))
 
 
-def beta_probability(x: Column, a: Column, b: Column, terms: int = 200) -> Column:
-    """P(X <= x) of the beta distribution, 0 < x < 1, by its continued fraction (Lentz's method)."""
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def beta_probability(x: Column, a: Column, b: Column) -> Column:
+    """P(X <= x) of the beta distribution, 0 < x < 1, by its continued fraction (Lentz's method), whose terms needed grow with the root of a + b."""
     swap = x > (a + 1) / (a + b + 2)
-    p, q, z = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.when(swap, 1 - x).otherwise(x)
-    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + p * F.log(z) + q * F.log(1 - z)) / p
     held = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
 
-    def step(s: Column, d: Column) -> Column:
-        c, e = held(1 + d / s["c"]), 1 / held(1 + d * s["e"])
-        return F.struct(c.alias("c"), e.alias("e"), (s["f"] * c * e).alias("f"))
+    def value(v: Column) -> Column:
+        p, q, z = v["p"], v["q"], v["z"]
+        front = F.exp(v["beta"] + p * F.log(z) + q * F.log(1 - z)) / p
 
-    def term(s: Column, m: Column) -> Column:
-        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
-        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
-        return step(step(s, even), odd)
+        def step(s: Column, k: Column) -> Column:
+            m = F.floor(k / 2).cast("double")
+            even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+            bound = _let(F.when(k % 2 == 0, even).otherwise(odd), lambda d: F.struct(held(1 + d / s["c"]).alias("c"), (1 / held(1 + d * s["e"])).alias("e"), s["f"].alias("f")))
+            return _let(bound, lambda t: F.struct(t["c"].alias("c"), t["e"].alias("e"), (t["f"] * t["c"] * t["e"]).alias("f")))
 
-    e = 1 / held(1 - (p + q) * z / (p + 1))
-    first = F.struct(F.lit(1.0).alias("c"), e.alias("e"), e.alias("f"))
-    numbers = F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda m: m.cast("double"))
-    value = front * F.aggregate(numbers, first, term, lambda s: s["f"])
-    return F.when(swap, 1 - value).otherwise(value)
+        # the term of k = 1 opens the fraction
+        first = _let(1 / held(1 - (p + q) * z / (p + 1)), lambda e: F.struct(F.lit(1.0).alias("c"), e.alias("e"), e.alias("f")))
+        return front * F.aggregate(F.sequence(F.lit(2), (24 + 2 * F.sqrt(p + q)).cast("int")), first, step, lambda s: s["f"])
 
+    sides = F.struct(F.when(swap, b).otherwise(a).alias("p"), F.when(swap, a).otherwise(b).alias("q"), F.when(swap, 1 - x).otherwise(x).alias("z"), (_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)).alias("beta"))
+    found = _let(sides, value)
+    return F.when(swap, 1 - found).otherwise(found)
 
-def beta_quantile(a: Column, b: Column, level: float, steps: int = 40) -> Column:
-    """The value that the beta distribution stays below with probability level, by bisection."""
+
+def beta_quantile(a: Column, b: Column, level: float, steps: int = 20) -> Column:
+    """The value that the beta distribution stays below with probability level, by bisection; above a + b = 10,000 by the normal distribution, which is near it there."""
     ends = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        below = beta_probability(mid, a, b) < level
-        return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
+        def half(mid: Column) -> Column:
+            return _let(beta_probability(mid, a, b) < level, lambda below: F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi")))
+
+        return _let((s["lo"] + s["hi"]) / 2, half)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    exact = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    n = a + b
+    return F.when(n <= 10_000, exact).otherwise(a / n + NormalDist().inv_cdf(level) * F.sqrt(a * b / (n * n * (n + 1))))
 
 
 def shrunk(counts: DataFrame, level: str, above: list[str], prior: Column) -> DataFrame:
