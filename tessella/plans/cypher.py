@@ -879,6 +879,8 @@ class _Run:
         while True:
             name = self.r.name()
             kind = self.r.scope.kinds.get(name)
+            if kind not in ("node", "edge"):
+                raise CypherFault(f"can't delete {name}")
             rows = self._source().where(F.col(name).isNotNull())
             if kind == "node":
                 gone = rows.select(F.col(name)["id"].alias("_id")).distinct()
@@ -889,11 +891,9 @@ class _Run:
                 elif touching("src").unionByName(touching("dst")).take(1):
                     raise CypherFault(f"{name} still has relationships")
                 nodes = nodes.join(gone, nodes["id"] == gone["_id"], "left_anti")
-            elif kind == "edge":
+            else:
                 gone = rows.select(*[F.col(name)[k].alias(f"_{k}") for k in ("src", "dst", "rel")]).distinct()
                 edges = edges.join(gone, [edges[k] == gone[f"_{k}"] for k in ("src", "dst", "rel")], "left_anti")
-            else:
-                raise CypherFault(f"can't delete {name}")
             if self.r.peek() != ",":
                 break
             self.r.take()
