@@ -17,7 +17,7 @@ for _name in sql_surface.STATEMENTS:
     QUERIES[_name] = partial(catalog.sql, text=sql_surface.spark_text(_name))
     ORACLE_SQL[_name] = sql_surface.duckdb_text(_name)
 
-from .plans import cypher_queries, engine_queries, finance_queries, graph_queries, graphql_queries, library, ontology_queries, pipe_queries, sparql_queries  # noqa: E402, F401  the others add to library
+from .plans import cypher_queries, engine_queries, finance_queries, graph_queries, graphql_queries, library, ontology_queries, pipe_queries, promql_queries, sparql_queries  # noqa: E402, F401  the others add to library
 
 QUERIES |= library.QUERIES
 ORACLE_SQL |= library.ORACLE_SQL

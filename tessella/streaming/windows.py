@@ -8,8 +8,6 @@ tests hold streams against batch queries.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..catalog import scratch
+
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_each: int = 16) -> DataFrame:
     """The files `name` of a folder as a stream; the schema is that of a batch read."""
@@ -62,18 +62,14 @@ def sequences(events: DataFrame, key: str, kind: str, seconds: str, first: str,
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Process all that is available and return the result table."""
+    """Process all that is available and return the result table; a batch run again after a failure isn't written twice."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="tessella-stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+        # a batch that is run again takes the place of its first run
+        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{at}/out")
