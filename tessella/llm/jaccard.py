@@ -16,8 +16,9 @@ without another of fitting size are left out. Equal sets are one node.
 
 1. Nearest rounds. Each node asks the R-trees it shares most with for its nearest
    neighbour, and for the nearest of lower hash; verified, these pairs span most
-   groups of near copies. Trees of over SMALL nodes that still hold several
-   components are asked ROUNDS times more for each node's nearest in another one.
+   groups of near copies. ROUNDS times more each node asks ASKED of its trees of
+   over SMALL nodes, if they still hold several components, for its nearest in
+   another one.
 2. Trees whose nodes still lie in several components are searched for all pairs
    of different components that the bound allows. Groups of over BLOCK nodes are
    searched in blocks; members of a tree's largest component are data only, never
@@ -603,7 +604,8 @@ def _links(found: _Nodes) -> DataFrame:
     links = nearest_links(found, trees)
     rows = _labelled(trees, links)
     for turn in range(1, ROUNDS + 1):
-        large = rows.where(F.col("m") > SMALL)
+        some = Window.partitionBy("node").orderBy(F.xxhash64("g", F.lit(turn)))
+        large = rows.where(F.col("m") > SMALL).withColumn("k", F.row_number().over(some)).where(F.col("k") <= ASKED).drop("k")
         new = found.nearest(large, turn) if large.take(1) else None
         if new is None:
             break
