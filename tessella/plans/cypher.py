@@ -33,12 +33,11 @@ class CypherFault(ValueError):
 
 
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+(?:\.(?!\.)\d+)?)|([A-Za-z_]\w*|`[^`]+`)|(<=|>=|<>|=~|\.\.|[-=<>(){}\[\],.:;*+/|%^$]))")
-_CLAUSES = ("OPTIONAL", "MATCH", "WHERE", "RETURN", "WITH", "UNWIND", "CALL", "ORDER", "SKIP", "LIMIT", "UNION", "CREATE", "MERGE", "SET", "DELETE", "DETACH", "REMOVE", "ON", "YIELD")
 _AGGREGATES = {"count": "count", "sum": "sum", "avg": "avg", "min": "min", "max": "max", "collect": "collect_list", "stdev": "stddev_samp", "stdevp": "stddev_pop"}
 _FUNCTIONS = {
     "toupper": "upper", "tolower": "lower", "abs": "abs", "coalesce": "coalesce", "floor": "floor", "ceil": "ceil", "round": "round", "sqrt": "sqrt", "sign": "sign", "exp": "exp",
     "log": "ln", "trim": "trim", "replace": "replace", "split": "split", "left": "left", "right": "right", "reverse": "reverse", "tostring": "string", "tointeger": "bigint",
-    "tofloat": "double", "head": "get_head", "last": "get_last", "range": "sequence", "nullif": "nullif",
+    "tofloat": "double", "range": "sequence", "nullif": "nullif",
 }
 _FOLDS = {"apoc.coll.sum": "aggregate({0}, CAST(0 AS DOUBLE), (a, x) -> a + x)", "apoc.coll.max": "array_max({0})", "apoc.coll.min": "array_min({0})", "apoc.coll.avg": "aggregate({0}, CAST(0 AS DOUBLE), (a, x) -> a + x) / nullif(size({0}), 0)"}
 
@@ -107,8 +106,11 @@ class Reader:
             raise CypherFault(f"not a name: {t!r}")
         return t.strip("`")
 
-    def ended(self) -> bool:
-        return not self.peek() or self.word() in _CLAUSES or self.peek() == "}"
+    def number(self) -> int:
+        t = self.take()
+        if not t.isdigit():
+            raise CypherFault(f"not a number: {t!r}")
+        return int(t)
 
     # --- expressions
     def expression(self) -> str:
@@ -538,7 +540,7 @@ class _Run:
         distinct = r.took("DISTINCT")
         items = r.items()
         if self.rows is None:
-            self.rows = self.graph.spark.range(1).select()
+            raise CypherFault("nothing before RETURN or WITH")
         # a bare node stays a node in WITH and is its id in RETURN
         source = lambda s, bare: f"`{bare}`" if keep and bare else s
         chosen = [F.expr(source(s, b)).alias(o) for s, o, _, b in items]
@@ -575,9 +577,9 @@ class _Run:
                     break
                 r.take()
         if r.took("SKIP"):
-            skip = int(r.take())
+            skip = r.number()
         if r.took("LIMIT"):
-            limit = int(r.take())
+            limit = r.number()
         rows = rows.orderBy(*order) if order else rows
         rows = rows.offset(skip) if skip is not None else rows
         rows = rows.limit(limit) if limit is not None else rows
