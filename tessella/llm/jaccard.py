@@ -22,7 +22,8 @@ without another of fitting size are left out. Equal sets are one node.
 2. Trees whose nodes still lie in several components are searched for all pairs
    of different components that the bound allows. Groups of over BLOCK nodes are
    searched in blocks; members of a tree's largest component are data only, never
-   searched against each other.
+   searched against each other. Near sets share many trees; a pair is left to the
+   first of them, as far as the FIRST lowest trees of both nodes tell.
 3. Survivors are verified in parts of at most about PAIRS pairs; links that join two
    components already joined there add nothing and aren't computed.
 
@@ -59,6 +60,7 @@ ASKED = 2  # trees that a node asks for its nearest neighbour at first
 SMALL = 64  # points that are compared as one leaf, without a tree above
 ROUNDS = 1
 PAIRS = 2048
+FIRST = 16  # of a node's trees, those that each of its rows names in the search for all pairs
 BITS = 1 << 26  # of the filter of wanted documents
 
 
@@ -439,7 +441,11 @@ def _nearest(rows: DataFrame, percent: int, lower: bool) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (g, i, j, side, node, comp, n, vec) to pairs (g, i, j, a, b) that the bound allows."""
+    """rows (g, i, j, side, node, comp, n, vec, first) to pairs (g, i, j, a, b) that the bound allows.
+
+    first: the lowest trees of the node. All trees below one of them that two nodes have in common are among both their lists, so the
+    lowest of those is the lowest that holds the pair; trees above it leave the pair out. Without a common one every tree gives the pair.
+    """
 
     def run(batches):
         out = {k: [] for k in ("g", "i", "j", "a", "b")}
@@ -448,11 +454,12 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
             node, comp, n, side = (np.asarray(table.column(k)) for k in ("node", "comp", "n", "side"))
             if comp.min() == comp.max() or 100 * n.max() < percent * n.min():
                 continue
+            lower = [{t for t in some if t < g} for some in table.column("first").to_pylist()]
             on = lambda some, at: some[side[some] == at] if i != j else some  # noqa: B023, E731
             for own, more, points in _classes(table, n, percent):
                 for left, right in ((on(own, 0), on(own, 1)), (on(own, 0), on(more, 1)), (on(more, 0), on(own, 1)))[: 3 if i != j else 2]:
                     for x, y in _close(points, n, comp, left, right, percent):
-                        if i != j or left is own and right is more or node[x] < node[y]:
+                        if (i != j or left is own and right is more or node[x] < node[y]) and lower[x].isdisjoint(lower[y]):
                             for k, v in zip(out, (g, i, j, *sorted((int(node[x]), int(node[y]))))):
                                 out[k].append(v)
             if len(out["g"]) > 20_000:
@@ -460,7 +467,7 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
                 out = {k: [] for k in out}
         yield out
 
-    dealt = rows.select("g", "i", "j", "side", "node", "comp", "n", "vec").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    dealt = rows.select("g", "i", "j", "side", "node", "comp", "n", "vec", "first").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     return _stream(dealt, run, "g long, i long, j long, a long, b long")
 
 
@@ -532,9 +539,9 @@ class _Nodes:
 
     def verified(self, pairs: DataFrame, joining: bool = True) -> DataFrame:
         """Links among pairs (g, a, b), of which those of one g are verified together, in several parts where they are many."""
-        # only groups of over PAIRS pairs are listed, so the list is short and the pairs stay where they are
+        # only groups of over PAIRS pairs are listed, so the list is short; it is broadcast, and the pairs stay where they are
         some = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("k")).where("k > 1")
-        parts = pairs.join(some, "g", "left").select("g", F.pmod(F.xxhash64("a", "b"), F.coalesce("k", F.lit(1))).alias("i"), F.lit(0).cast("long").alias("j"), "a", "b")
+        parts = pairs.join(F.broadcast(some), "g", "left").select("g", F.pmod(F.xxhash64("a", "b"), F.coalesce("k", F.lit(1))).alias("i"), F.lit(0).cast("long").alias("j"), "a", "b")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = _sets(self.docs, self.reps, ends, self.width)
         out = _verified(parts, sets, self.percent, joining)
@@ -549,10 +556,14 @@ class _Nodes:
         # a node that many have as their nearest is verified with all of them
         return self.verified(materialise(pairs.groupBy("a", "b").agg(F.min("g").alias("g"))))
 
-    def searched(self, rows: DataFrame) -> DataFrame:
-        """All pairs (g, i, j, a, b) of different components in rows (g, node, n, comp, own, blocks..) that the bound allows, each once."""
-        # a pair that several trees give is verified once
-        return materialise(_candidates(self.points(rows), self.percent).groupBy("a", "b").agg(F.min(F.xxhash64("g", "i", "j")).alias("g")))
+    def searched(self, rows: DataFrame, trees: DataFrame) -> DataFrame:
+        """All pairs (g, i, j, a, b) of different components in rows (g, node, n, comp, own, blocks..) that the bound allows, each once.
+
+        trees: (g, node), the members of all trees that rows has.
+        """
+        first = trees.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("g")), 1, FIRST).alias("first"))
+        # a pair that several trees still give is verified once
+        return materialise(_candidates(self.points(rows).join(first, "node"), self.percent).groupBy("a", "b").agg(F.min(F.xxhash64("g", "i", "j")).alias("g")))
 
 
 def _blocks(rows: DataFrame, members: Column, start: Column, against: Column) -> DataFrame:
@@ -623,7 +634,7 @@ def _links(found: _Nodes) -> DataFrame:
     data = _blocks(left.where(is_data), F.col("large"), small, small)
     data = data.where("own <> other")
     both = queries.unionByName(data).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") == F.col("j")).cast("int"))
-    more = found.verified(found.searched(both))
+    more = found.verified(found.searched(both, rows))
     discard(trees, rows)
     return links.unionByName(more)
 
@@ -637,10 +648,10 @@ def jaccard_links(docs: DataFrame, percent: int = 75, width: int = 5) -> tuple[D
     membership = found.rows.join(found.reps.select("node", "rep"), "node", "left").select("doc_id", "rep", F.col("n").alias("n_shingles"))
     if not found.total:
         return membership.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0), membership
-    rows = found.trees().select("g", "m", "node", "n", F.col("node").alias("comp"))
-    rows = _blocks(rows, F.col("m"), F.lit(0), F.ceil(F.col("m") / BLOCK))
+    trees = found.trees().select("g", "m", "node", "n", F.col("node").alias("comp"))
+    rows = _blocks(trees, F.col("m"), F.lit(0), F.ceil(F.col("m") / BLOCK))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") == F.col("j")).cast("int"))
-    links = found.verified(found.searched(rows), joining=False)
+    links = found.verified(found.searched(rows, trees), joining=False)
     of = lambda side: found.reps.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}"))
     links = links.join(of("a"), "a").join(of("b"), "b")
     return links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")), membership

@@ -91,6 +91,31 @@ def test_trees_give_links_and_all_links(spark, monkeypatch):
     assert {r["doc_id"]: r["rep"] for r in membership.collect()} == {i: least[frozenset(s)] if s else None for (i, _), s in zip(rows, sets)}
 
 
+@pytest.mark.parametrize("first", [16, 1])
+def test_a_pair_comes_from_one_of_its_trees(spark, monkeypatch, first):
+    monkeypatch.setattr(jaccard, "FIRST", first, raising=False)
+    rng, rows = random.Random(8), []
+    for i in range(60):
+        words = [f"w{k}" for k in range(120)]
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    given, search = [], jaccard._candidates
+
+    def counted(*args):
+        found = search(*args).select("a", "b").collect()
+        given.extend((r["a"], r["b"]) for r in found)
+        return search(*args)
+
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    links, _ = jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = plain_sets(rows)
+    wanted = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if 100 * len(a & b) >= 75 * len(a | b)}
+    assert {(r["a"], r["b"]) for r in links.collect()} == wanted
+    assert len(wanted) > 1000
+    if first == 16:  # each of a pair's many trees gave it before
+        assert len(given) <= 1.05 * len(set(given))
+
+
 def test_jaccard_join_of_nothing(spark):
     for rows in ([], [(1, None), (2, "")]):
         got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
