@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import discard, materialise
+from .common import discard, materialise, released
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -107,7 +107,7 @@ def _stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dic
         for out in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[dict]:

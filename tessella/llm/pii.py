@@ -26,7 +26,7 @@ from bisect import bisect_left
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_columns
+from .common import map_columns, released
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -323,7 +323,7 @@ def redact(docs: DataFrame) -> DataFrame:
     counted = "n_chars" in docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             at, text = batch.schema.get_field_index("text"), [redacted(t) for t in batch.column("text").to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(text, target.field("text").type)
@@ -331,4 +331,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[batch.schema.get_field_index("n_chars")] = pa.array([None if t is None else len(t) for t in text], target.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: released(run(batches)), docs.schema)
