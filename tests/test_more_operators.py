@@ -164,3 +164,26 @@ def test_bad_texts_are_faults(spark):
     for text in ("{ p { nope } }", "{ p(first: ", "mutation { x }", "{ p { ...none } }"):
         with pytest.raises(graphql.GraphqlFault):
             graphql.run(text, nodes, edges)
+
+
+def test_exact_neighbours_over_several_blocks(spark):
+    """Blocks are smaller than the table, lengths differ, and ties go to smaller ids."""
+    import numpy as np
+
+    from tessella.operators import retrieval
+
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((150, 6))
+    v[60:90] = v[60]
+    rows = [(i, [float(x) for x in v[i]]) for i in range(150)] + [(200, [1.0, 2.0]), (201, [2.0, 4.0]), (202, None), (203, [0.0] * 6)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id < 202 AND embedding IS NOT NULL")
+    blocks = retrieval.packed(t, "vec_id", "embedding", 32).cache()
+    assert blocks.count() >= 6
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for r in retrieval.best_blocks(blocks, blocks.repartition(3), 4).collect():
+        got.setdefault(r["query"], set()).add((-round(r["score"], 9), r["vec_id"]))
+    for q in range(150):
+        best = sorted((-round(float(unit[i] @ unit[q]), 9), i) for i in range(150))[:4]
+        assert sorted(got[q])[:4] == best
+    assert {i for _, i in got[200]} == {200, 201}
