@@ -362,3 +362,16 @@ def test_nearest_neighbours_reach_recall(spark):
     assert hits >= 0.9 * 5 * len(got)
     few = nndescent.nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>"), k=5, every=50).collect()
     assert [r["vec_id"] for r in few if r["query_id"] == 0].__len__() == 2
+
+
+def test_near_copies_are_told_apart_by_graph_and_by_comparison(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((3, 16))[rng.integers(0, 3, 900)] + 1e-5 * rng.standard_normal((900, 16))  # cosines differ by some 1e-10
+    table = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(900)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for exact, least in ((0, 0.9), (1e12, 1.0)):
+        found = defaultdict(list)
+        for r in nndescent.nearest(table, k=5, every=50, exact=exact).orderBy("query_id", "rank").collect():
+            found[r["query_id"]].append(r["vec_id"])
+        best = {q: [int(i) for i in np.argsort(-(unit @ unit[q])) if i != q][:5] for q in range(0, 900, 50)}
+        assert sum(len(set(best[q]) & set(found[q])) for q in best) >= least * 5 * len(best)
