@@ -187,3 +187,17 @@ def test_exact_neighbours_over_several_blocks(spark):
         best = sorted((-round(float(unit[i] @ unit[q]), 9), i) for i in range(150))[:4]
         assert sorted(got[q])[:4] == best
     assert {i for _, i in got[200]} == {200, 201}
+
+
+def test_points_on_a_line_cluster_as_by_their_pairs(spark):
+    import random
+
+    from tessella.operators import centrality as C
+
+    rng = random.Random(5)
+    xs = [round(rng.uniform(-60, 60), 1) for _ in range(90)] + [7.0] * 5 + [200.0, 201.0, 202.0, 203.5, 300.0, float("nan"), None]
+    points = spark.createDataFrame(list(enumerate(xs)), "id long, x double")
+    near = [(a, b) for a, x in enumerate(xs) for b, y in enumerate(xs) if a < b and x is not None and y is not None and abs(x - y) <= 1.5]
+    for least in (2, 3, 5):
+        expected = C.dbscan(spark.createDataFrame(near, "src long, dst long"), points.select("id"), least)
+        assert sorted(map(tuple, C.dbscan_line(points, 1.5, least).collect())) == sorted(map(tuple, expected.collect()))
