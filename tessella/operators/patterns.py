@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import held
+
 
 def sequence(events: DataFrame, types: list[str], within: float) -> DataFrame:
     """(key, id, end) of events of types[0] that are followed, in order, by the other types within `within` seconds.
@@ -70,13 +72,35 @@ def diff_in_diff(rows: DataFrame) -> DataFrame:
     return m.select("*", effect.alias("effect"), F.coalesce(F.try_divide(effect, F.col("tb")), F.lit(0.0)).alias("relative"))
 
 
-def entity_pairs(records: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) of records of the same block whose token sets have a Jaccard of at least threshold; records (id, block, text)."""
-    r = records.select("id", "block", F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda t: t != "")).alias("tokens"))
-    p = r.alias("p").join(r.alias("q"), F.col("p.block") == F.col("q.block")).where("p.id < q.id")
+def entity_pairs(records: DataFrame, threshold: float, chunk: int = 256) -> DataFrame:
+    """(a, b, score) of records of the same block whose token sets have a Jaccard of at least threshold > 0; records (id, block, text).
+
+    Equal sets of a block are compared once. Sets of the wanted similarity share a
+    token among their rarest ones, as many as they may differ in and one more. The
+    records of two similar sets then meet in chunks of about `chunk` ids a side,
+    dealt out evenly, so no task holds a whole set or block.
+    """
+    if threshold <= 0:
+        raise ValueError("a threshold of 0 or below pairs all records")
+    tokens = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda t: t != "")))
+    r = held(records.select("id", "block", tokens.alias("tokens")).where("id IS NOT NULL AND block IS NOT NULL AND size(tokens) > 0"))
+    sets = held(r.groupBy("block", "tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.monotonically_increasing_id()))
+    each = sets.select("g", F.explode("tokens").alias("token"))
+    rare = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("f")), "token").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("by"))
+    some = F.size("by") - F.ceil(F.size("by") * F.lit(threshold) - 1e-9).cast("int") + 1
+    front = held(sets.join(rare, "g").select("g", "block", "tokens", F.explode(F.slice("by", F.lit(1), some)).alias("e")).select("g", "block", "tokens", "e.token"))
     common = F.size(F.array_intersect("p.tokens", "q.tokens"))
-    score = F.try_divide(common, F.size("p.tokens") + F.size("q.tokens") - common)
-    return p.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), score.alias("score")).where(F.col("score") >= threshold)
+    score = common / (F.size("p.tokens") + F.size("q.tokens") - common)
+    met = front.alias("p").join(front.alias("q"), ["block", "token"]).where("p.g < q.g").select(F.col("p.g").alias("ga"), F.col("q.g").alias("gb"), score.alias("score"))
+    close = met.where(F.col("score") >= threshold).distinct().unionByName(sets.where("n > 1").select(F.col("g").alias("ga"), F.col("g").alias("gb"), F.lit(1.0).alias("score")))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / chunk).cast("long"))
+    chunks = held(r.join(sets, ["block", "tokens"]).groupBy("g", part.alias("c")).agg(F.collect_list("id").alias("ids")))
+    left, right = chunks.select(F.col("g").alias("ga"), F.col("c").alias("ca"), F.col("ids").alias("xs")), chunks.select(F.col("g").alias("gb"), F.col("c").alias("cb"), F.col("ids").alias("ys"))
+    meet = held(close.join(left, "ga").join(right, "gb").where("ga < gb OR ca <= cb"))
+    total = meet.agg(F.sum(F.size("xs").cast("long") * F.size("ys"))).first()[0] or 0
+    parts = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000)
+    pairs = meet.repartition(parts).withColumn("x", F.explode("xs")).select("ga", "gb", "ca", "cb", "x", "score", F.explode("ys").alias("y"))
+    return pairs.where("x < y OR (x > y AND (ga < gb OR ca < cb))").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
 def robust_anomalies(rows: DataFrame, group: str, value: str, cut: float = 3.5) -> DataFrame:

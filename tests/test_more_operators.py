@@ -201,3 +201,24 @@ def test_points_on_a_line_cluster_as_by_their_pairs(spark):
     for least in (2, 3, 5):
         expected = C.dbscan(spark.createDataFrame(near, "src long, dst long"), points.select("id"), least)
         assert sorted(map(tuple, C.dbscan_line(points, 1.5, least).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_entity_pairs_of_large_equal_groups_meet_in_chunks(spark):
+    import random
+
+    from tessella.operators import patterns
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("xy"), " ".join(rng.choice(["red", "blue", "Large", "small", "ring", "bolt"]) for _ in range(rng.randrange(0, 4)))) for i in range(120)] + [(200, None, "red"), (201, "x", None)]
+    for threshold in (0.34, 0.5, 1.0):
+        found = patterns.entity_pairs(spark.createDataFrame(rows, "id long, block string, text string"), threshold, chunk=3)
+        # no join makes pairs of records: they come from chunks of ids
+        assert "xs" in found._jdf.queryExecution().analyzed().toString()
+        sets = {i: (b, set((t or "").lower().split())) for i, b, t in rows}
+        expected = {}
+        for i, (b, s) in sets.items():
+            for j, (c, t) in sets.items():
+                if i < j and b and b == c and s and t and len(s & t) / len(s | t) >= threshold:
+                    expected[i, j] = len(s & t) / len(s | t)
+        got = {(r["a"], r["b"]): r["score"] for r in found.collect()}
+        assert got == expected and found.count() == len(expected)
