@@ -222,3 +222,21 @@ def test_entity_pairs_of_large_equal_groups_meet_in_chunks(spark):
                     expected[i, j] = len(s & t) / len(s | t)
         got = {(r["a"], r["b"]): r["score"] for r in found.collect()}
         assert got == expected and found.count() == len(expected)
+
+
+def test_cypher_rings_meet_in_the_middle(spark):
+    from tessella.plans import cypher
+
+    rows = [("o", i, "p", p, "HAS") for i in range(8) for p in ((i * 3) % 5, (i * 7 + 1) % 5)] + [("o", i, "c", i % 3, "OF") for i in range(8)] + [("p", i, "p", (i + 1) % 5, "LIKE") for i in range(5)] + [("p", 0, "p", 2, "LIKE")]
+    e = sorted({(f"{a}{i}", f"{b}{j}", rel) for a, i, b, j, rel in rows})
+    edges = spark.createDataFrame(e, "src string, dst string, rel string").cache()
+    nodes = spark.createDataFrame(sorted({(x, x[0], 1.0) for s, d, _ in e for x in (s, d)}), "id string, label string, value double").cache()
+    has, of, like = ([(a, b) for a, b, r in e if r == k] for k in ("HAS", "OF", "LIKE"))
+    found = cypher.run("MATCH (x:o)-[:HAS]->(p:p)<-[:HAS]-(y:o)-[:OF]->(c:c)<-[:OF]-(x) RETURN x.id AS x, p.id AS p, y.id AS y, c.id AS c", nodes, edges)
+    assert sorted(map(tuple, found.collect())) == sorted((x, p, y, c) for x, p in has for y, q in has if p == q and x != y for z, c in of if z == x if (y, c) in of)
+    # each arm goes through an order, which has few edges going out; no join makes the orders' pairs of a part
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("_start2") and plan.count("_at2")
+    three = cypher.run("MATCH (a)-[:LIKE]->(b)-[r]-(c)<-[:LIKE]-(a) RETURN a.id AS a, b.id AS b, c.id AS c", nodes, edges)
+    ways = {(a, b): (a, b) for a, b in like} | {(b, a): (a, b) for a, b in like}
+    assert sorted(map(tuple, three.collect())) == sorted((a, b, c) for a, b in like for x, c in like if x == a and c != b and (b, c) in ways)
