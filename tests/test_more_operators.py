@@ -240,3 +240,19 @@ def test_cypher_rings_meet_in_the_middle(spark):
     three = cypher.run("MATCH (a)-[:LIKE]->(b)-[r]-(c)<-[:LIKE]-(a) RETURN a.id AS a, b.id AS b, c.id AS c", nodes, edges)
     ways = {(a, b): (a, b) for a, b in like} | {(b, a): (a, b) for a, b in like}
     assert sorted(map(tuple, three.collect())) == sorted((a, b, c) for a, b in like for x, c in like if x == a and c != b and (b, c) in ways)
+
+
+def test_components_taken_whole_agree_with_joins(spark, monkeypatch):
+    import random
+
+    from tessella.operators import centrality as C
+
+    rng = random.Random(6)
+    chain = [(i, i + 1) for i in range(100, 103)] + [(a, b) for a in range(103, 110) for b in range(103, a)]  # a long way and a dense end
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3)] + chain + [(200, 201)], "src long, dst long").cache()
+    near = {f: {r["id"]: tuple(r)[1:] for r in getattr(C, f)(e).collect()} for f in ("betweenness", "closeness", "greedy_colours")}
+    assert all("Arrow" in getattr(C, f)(e)._jdf.queryExecution().analyzed().toString() for f in near)
+    monkeypatch.setattr(C, "LOCAL_NODES", 9)  # the component of the way and the dense end goes by joins
+    for f in near:
+        got = {r["id"]: tuple(r)[1:] for r in getattr(C, f)(e).collect()}
+        assert got.keys() == near[f].keys() and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], near[f][k]))
