@@ -1,10 +1,12 @@
-"""Kernels whose state runs along a series: one pandas group per series, never the whole table."""
+"""Kernels whose state runs along a series: filters row by row, the others in one pandas group per series, never the whole table."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _each(points: DataFrame, series: str, order: list[str], columns: list[str], out: str, fn) -> DataFrame:
@@ -19,37 +21,64 @@ def _each(points: DataFrame, series: str, order: list[str], columns: list[str],
     return points.select(*keep).groupBy(series).applyInPandas(run, f"{series} {kind}, {out}")
 
 
+def _streamed(points: DataFrame, series: str, order: list[str], id_: str, columns: list[str], out: str, begin) -> DataFrame:
+    """(series, id, out): begin() gives a series' state, a function of one row's values; rows come sorted and in batches, so memory doesn't grow with a series."""
+    kind = dict(points.dtypes)[series]
+    rows = points.select(F.col(series).alias("_series"), F.col(id_).cast("long").alias("_id"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    dealt = rows.repartition("_series").sortWithinPartitions("_series", *[F.asc_nulls_last(f"_o{i}") for i in range(len(order))])
+    dealt = dealt.select("_series", "_id", *[f"_v{i}" for i in range(len(columns))])
+
+    def run(batches):
+        now, step = None, None
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            found = []
+            for name, *values in zip(names, *[batch.column(2 + i).to_numpy(zero_copy_only=False).tolist() for i in range(len(columns))]):
+                if step is None or name != now:
+                    now, step = name, begin()
+                found.append(step(*values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64(), from_pandas=True)], names=[series, "id", out])
+
+    return dealt.mapInArrow(run, f"{series} {kind}, id long, {out} double")
+
+
 def kalman_level(points: DataFrame, series: str, order: list[str], id_: str, value: str, q: float, r: float) -> DataFrame:
     """(series, id, level) of a local-level filter; the first value is the first level."""
 
-    def fn(ids, xs):
-        out, level, p = [], None, r
-        for x in xs:
+    def begin():
+        level, p = None, r
+
+        def step(x):
+            nonlocal level, p
             if level is None:
                 level = x
             else:
                 p += q
                 gain = p / (p + r)
                 level, p = level + gain * (x - level), (1 - gain) * p
-            out.append(level)
-        return {"id": ids, "level": out}
+            return level
+
+        return step
 
-    return _each(points, series, order, [id_, value], "id long, level double", fn)
+    return _streamed(points, series, order, id_, [value], "level", begin)
 
 
 def kalman_beta(points: DataFrame, series: str, order: list[str], id_: str, x: str, y: str, q: float, r: float) -> DataFrame:
     """(series, id, beta): random-walk coefficient of y on x, from 0 with variance 1."""
 
-    def fn(ids, xs, ys):
-        out, beta, p = [], 0.0, 1.0
-        for a, b in zip(xs, ys):
+    def begin():
+        beta, p = 0.0, 1.0
+
+        def step(a, b):
+            nonlocal beta, p
             p += q
             gain = p * a / (a * a * p + r)
             beta, p = beta + gain * (b - beta * a), (1 - gain * a) * p
-            out.append(beta)
-        return {"id": ids, "beta": out}
+            return beta
+
+        return step
 
-    return _each(points, series, order, [id_, x, y], "id long, beta double", fn)
+    return _streamed(points, series, order, id_, [x, y], "beta", begin)
 
 
 def sliding_distances(query: np.ndarray, xs: np.ndarray) -> np.ndarray:
