@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import parts_of
+
 
 def tail_risk(returns: DataFrame, group: str, value: str, order: list[str], confidence: float = 0.95) -> DataFrame:
     """(group, var, cvar), historical: order statistics without interpolation, losses positive."""
@@ -100,7 +102,8 @@ def information_coefficient(rows: DataFrame, by: str, signal: str, forward: str)
         w = Window.partitionBy(by).orderBy(c)
         return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(by, c)) - 1) / 2
 
-    ranked = rows.select(by, rank(signal).alias("a"), rank(forward).alias("b"))
+    dealt = rows.select(by, signal, forward).repartition(parts_of(rows), by)
+    ranked = dealt.select(by, rank(signal).alias("a"), rank(forward).alias("b"))
     return ranked.groupBy(by).agg(F.corr("a", "b").alias("ic"))
 
 

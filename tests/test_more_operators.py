@@ -282,3 +282,51 @@ def test_sliding_ranges_come_from_cells(spark):
         frame = [(u, x) for q, u, x in full if q == s and t - 20 <= u <= t]
         grown = sum(y if y < x else y - x for (_, x), (_, y) in itertools.pairwise(frame))
         assert rate[s, t] is None if len(frame) == 1 else abs(rate[s, t] - grown / (t - frame[0][0])) < 1e-9
+
+
+def test_filters_run_through_a_series_in_batches(spark):
+    from tessella.operators import sequential
+
+    rng = random.Random(9)
+    rows = [(s, t, 10 * t + i, rng.random()) for i, s in enumerate(["a", "b", None]) for t in range(300)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = sequential.kalman_level(spark.createDataFrame(rows, "s string, t long, i long, v double"), "s", ["t"], "i", "v", 0.1, 1.0)
+        # no task takes a whole series at once
+        assert "FlatMapGroups" not in found._jdf.queryExecution().analyzed().toString()
+        got = {r["id"]: r["level"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s in ("a", "b", None):
+        level, p = None, 1.0
+        for _, _, i, x in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]):
+            if level is None:
+                level = x
+            else:
+                p += 0.1
+                gain = p / (p + 1.0)
+                level, p = level + gain * (x - level), (1 - gain) * p
+            assert got.pop(i) == level
+    assert not got
+
+
+def test_partitions_grow_with_the_table(spark):
+    from tessella.operators import finance, patterns
+
+    assert graph.parts_of(spark.range(10)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert graph.parts_of(spark.range(101), 10) == 11
+    items = spark.createDataFrame([(i % 7, i % 5) for i in range(35)], "basket long, item long").distinct()
+    for df in (patterns.association(items, 2), finance.information_coefficient(items, "basket", "item", "item"), graph.similarity(items.toDF("src", "dst"))):
+        assert "RepartitionByExpression" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_similarity_by_lists_of_later_nodes(spark):
+    rng = random.Random(10)
+    e = {(rng.randrange(30), rng.randrange(12)) for _ in range(150)}
+    out = {a: {y for x, y in e if x == a} for a, _ in e}
+    for metric, cutoff in (("jaccard", 0.2), ("jaccard", 0.0), ("cosine", 0.5)):
+        got = {(r["a"], r["b"]): r["score"] for r in graph.similarity(pairs(spark, [*e, *list(e)[:9]]), metric, cutoff).collect()}
+        score = lambda x, y: len(x & y) / (len(x | y) if metric == "jaccard" else (len(x) * len(y)) ** 0.5)  # noqa: B023, E731
+        expected = {(a, b): score(out[a], out[b]) for a in out for b in out if a < b and out[a] & out[b] and score(out[a], out[b]) > cutoff}
+        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
