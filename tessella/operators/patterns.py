@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import held
+from .graph import held, parts_of
 
 
 def sequence(events: DataFrame, types: list[str], within: float) -> DataFrame:
@@ -58,8 +58,11 @@ def association(items: DataFrame, least: int = 2) -> DataFrame:
     """(a, b, n, support, confidence, lift) of item pairs in at least `least` baskets; items (basket, item) is distinct."""
     total = items.select("basket").distinct().count()
     single = items.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
-    kept = items.join(single.select("item"), "item", "left_semi")
-    pair = kept.alias("p").join(kept.alias("q"), F.col("p.basket") == F.col("q.basket")).where("p.item < q.item").groupBy(F.col("p.item").alias("a"), F.col("q.item").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    kept = held(items.join(single.select("item"), "item", "left_semi"))
+    parts = parts_of(kept)
+    kept = kept.repartition(parts, "basket")
+    pair = kept.alias("p").join(kept.alias("q"), F.col("p.basket") == F.col("q.basket")).where("p.item < q.item").select(F.col("p.item").alias("a"), F.col("q.item").alias("b"))
+    pair = pair.repartition(parts, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     pair = pair.join(single.select(F.col("item").alias("a"), F.col("c").alias("ca")), "a").join(single.select(F.col("item").alias("b"), F.col("c").alias("cb")), "b")
     return pair.select("a", "b", "n", (F.col("n") / total).alias("support"), (F.col("n") / F.col("ca")).alias("confidence"), (F.col("n") * total / (F.col("ca") * F.col("cb"))).alias("lift"))
 
